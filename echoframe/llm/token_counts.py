@@ -32,6 +32,7 @@ MEMO = 500_000
 #: Transducer states that a process holds, about 1 kB each.
 STATES = 250_000
 SPACE = "▁"
+_LETTER = re.compile(r"[^\W\d_]")
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -79,12 +80,16 @@ class Transducer:
         inside = {c for p in score if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r0123456789" if c not in inside)
         cut = re.escape(alone)
-        letter = re.compile(r"[^\W\d_]")
-        mixed = any(bool(letter.match(a)) != bool(letter.match(b)) for p in score for a, b in zip(p.lstrip(SPACE), p.lstrip(SPACE)[1:], strict=False))
-        body = f"[^{SPACE}{cut}]+" if mixed else rf"(?:[^\W\d_]+|(?:[^\w{SPACE}{cut}]|[\d_])+)"
-        if re.search(r"\d", alone):  # these digits are cut off one by one
-            body = body.replace(r"[\d_]", rf"(?![{cut}])[\d_]")
-        self.cuts = re.compile(f"{SPACE}*{body}|{SPACE}+" + (f"|[{cut}]" if alone else ""))
+        # Letters and other characters are cut apart where no piece holds both; letters that pieces
+        # join with others, such as a raised 2, count as others.
+        bare = [p.lstrip(SPACE) for p in score]
+        odd = {a if a.isalnum() else b for p in bare for a, b in zip(p, p[1:], strict=False) if bool(_LETTER.match(a)) != bool(_LETTER.match(b))}
+        letters = {c for p in bare for c in p if _LETTER.match(c) and c not in odd}
+        mixed = len(odd) > 50 or any((a in letters) != (b in letters) for p in bare for a, b in zip(p, p[1:], strict=False))
+        extra = re.escape("".join(sorted(odd)))
+        digits = rf"(?![{cut}])[\d_{extra}]" if cut else rf"[\d_{extra}]"
+        body = f"[^{SPACE}{cut}]+" if mixed else rf"(?:[^\W\d_{extra}]+|(?:[^\w{SPACE}{cut}]|{digits})+)"
+        self.cuts = re.compile(f"{SPACE}*{body}|{SPACE}+" + (f"|[{cut}]" if cut else ""))
 
     def cost(self, token: str) -> int:
         return 1 if token in self.score else len(token.encode())
