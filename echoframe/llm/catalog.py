@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, token_counts
+from . import bpe, common, exact_dedup, language_id, secrets, token_counts
 
 try:
     import public_tokenizers
@@ -18,9 +18,21 @@ def op3_bpe_codec(spark, sf_dir):
     return bpe.encode(common.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secrets.scan_documents(common.read(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark, sf_dir):
+    return exact_dedup.duplicates(common.read(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark, sf_dir):
+    return language_id.identify(common.read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op4_secret_scan, op9_exact_dedup, op10_language_id)}
 
 
 def oracle_sql():
-    return {}
+    return {"op9_exact_dedup": exact_dedup.SQL}
