@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, exact_dedup, language_id, secrets, token_counts
+from . import bpe, common, exact_dedup, language_id, mixing, secrets, token_counts
 
 try:
     import public_tokenizers
@@ -22,6 +22,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.scan_documents(common.read(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark, sf_dir):
+    return mixing.mix(common.read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicates(common.read(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op4_secret_scan, op9_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op9_exact_dedup, op10_language_id)}
 
 
 def oracle_sql():
