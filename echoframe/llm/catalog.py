@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, exact_dedup, language_id, mixing, secrets, token_counts
+from . import bpe, common, exact_dedup, language_id, lm_score, mixing, secrets, token_counts
 
 try:
     import public_tokenizers
@@ -14,6 +14,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(common.read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_lattice_likelihood(spark, sf_dir):
+    return lm_score.score(common.read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_bpe_codec(spark, sf_dir):
     return bpe.encode(common.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +39,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op9_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op9_exact_dedup, op10_language_id)}
 
 
 def oracle_sql():
