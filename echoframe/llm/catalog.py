@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, exact_dedup, language_id, lm_score, mixing, secrets, token_counts
+from . import bpe, common, exact_dedup, language_id, lm_score, mixing, ngram_join, secrets, token_counts
 
 try:
     import public_tokenizers
@@ -30,6 +30,10 @@ def op6_source_mixing(spark, sf_dir):
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicates(common.read(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op9_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op8_ngram_join, op9_exact_dedup, op10_language_id)}
 
 
 def oracle_sql():
