@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, common, exact_dedup, language_id, lm_score, mixing, ngram_join, secrets, token_counts
+from pyspark.sql import functions as F
+
+from . import ann, bpe, common, exact_dedup, language_id, lm_score, mixing, ngram_join, secrets, token_counts
 
 try:
     import public_tokenizers
@@ -30,6 +32,10 @@ def op6_source_mixing(spark, sf_dir):
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op7_multi_index_search(spark, sf_dir):
+    return ann.search(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(common.read(spark, sf_dir, "documents"))
 
@@ -43,7 +49,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op8_ngram_join, op9_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op7_multi_index_search, op8_ngram_join, op9_exact_dedup, op10_language_id)}
 
 
 def oracle_sql():
