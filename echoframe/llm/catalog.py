@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, exact_dedup, language_id, lm_score, mixing, ngram_join, secrets, token_counts
+from . import ann, bpe, common, exact_dedup, language_id, lm_score, mixing, ngram_join, secrets, substring_dedup, token_counts
 
 try:
     import public_tokenizers
@@ -28,6 +28,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.scan_documents(common.read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.passages(common.read(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op6_source_mixing, op7_multi_index_search, op8_ngram_join, op9_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op5_substring_dedup, op6_source_mixing, op7_multi_index_search, op8_ngram_join, op9_exact_dedup, op10_language_id)}
 
 
 def oracle_sql():

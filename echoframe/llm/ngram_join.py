@@ -44,8 +44,8 @@ class WordHash(dict):
         return h
 
 
-def shingles(text: str | None, memo: WordHash, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles: of the whole sequence if it has fewer words, none if it has none."""
+def shingle_sequence(text: str | None, memo: WordHash, words: int = WORDS) -> np.ndarray:
+    """Hashes of a text's shingles in order: of the whole sequence if it has fewer words, none if it has none."""
     found = (text or "").encode().lower().split()  # of bytes: lowers A-Z and splits at ASCII white space only
     if not found:
         return np.zeros(0, np.uint64)
@@ -58,7 +58,12 @@ def shingles(text: str | None, memo: WordHash, words: int = WORDS) -> np.ndarray
             h ^= h >> np.uint64(29)
         h = (h + np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return np.unique(h >> np.uint64(64 - BITS))
+    return h >> np.uint64(64 - BITS)
+
+
+def shingles(text: str | None, memo: WordHash, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_sequence(text, memo, words))
 
 
 def needed(n, percent: int = PERCENT):
