@@ -58,14 +58,14 @@ class Lattice:
             keys[i] = h[0]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
-        bits = max(10, int(len(keys) * 16).bit_length())
+        bits = max(10, int(len(keys) * 4).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.ids, self.depth = np.zeros(1 << bits, np.uint64), np.full(1 << bits, _INVALID, np.int32), 1
+        self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, _INVALID, np.int32)
         for i, k in enumerate(keys):
-            at, d = int(k >> self.shift), 1
+            at = int(k >> self.shift)
             while self.ids[at] >= 0:
-                at, d = (at + 1) & self.mask, d + 1
-            self.keys[at], self.ids[at], self.depth = k, i, max(d, self.depth)
+                at = (at + 1) & self.mask
+            self.keys[at], self.ids[at] = k, i
 
     @staticmethod
     def _add(h, code):
@@ -73,14 +73,21 @@ class Lattice:
             return (h + code + np.uint64(1)) * _MIX ^ ((h + code) >> np.uint64(29))
 
     def find(self, h):
-        """Numbers of the pieces with these hashes, -1 where there is none."""
-        at = (h >> self.shift).astype(np.int64)
-        found = np.full(h.shape, _INVALID, np.int32)
-        for _ in range(self.depth):
-            hit = self.keys[at] == h
-            found = np.where(hit & (found < 0), self.ids[at], found)
-            at = (at + 1) & self.mask
-        return found
+        """(places in h, numbers of the pieces there) of the hashes that are some piece's."""
+        left = np.arange(len(h))
+        at = (h >> self.shift).astype(np.int32)
+        rows, found = [], []
+        while len(left):
+            ids = self.ids[at]
+            some = ids >= 0  # an empty slot ends the probing
+            left, at, ids = left[some], at[some], ids[some]
+            hit = self.keys[at] == h[left]
+            rows.append(left[hit])
+            found.append(ids[hit])
+            left, at = left[~hit], (at[~hit] + 1) & self.mask
+        rows, found = np.concatenate(rows or [left]), np.concatenate(found or [left])
+        order = np.argsort(rows, kind="stable")
+        return rows[order], found[order]
 
     def prior(self) -> np.ndarray:
         """log scores from the vocabulary's own order: weight 1 / (place + 50)."""
@@ -93,7 +100,7 @@ class Lattice:
         return np.log(weight / total)
 
     def arcs(self, words: list[str]):
-        """Words of one length: per (start, length) the numbers of the pieces there, and byte costs of odd letters."""
+        """Words of one length: per (start, end) the words that have a piece there and its number; letters no piece has."""
         x = np.array([np.frombuffer((SPACE + w).encode("utf-32-le", "surrogatepass"), np.uint32) for w in words])
         code = self.code[x]
         arcs, n = [], x.shape[1]
@@ -101,42 +108,40 @@ class Lattice:
             h = np.zeros(len(words), np.uint64)
             for j in range(i, min(n, i + LONGEST)):
                 h = self._add(h, code[:, j])
-                ids = self.find(h)
-                if (ids >= 0).any():
-                    arcs.append((i, j + 1, ids))
+                rows, ids = self.find(h)
+                if len(rows):
+                    arcs.append((i, j + 1, rows, ids))
         return arcs, code == 0, n
 
-    def bytes_at(self, words, i):
-        return [w[i - 1].encode("utf-8", "surrogatepass") for w in words]
-
     def forward(self, words: list[str], logp: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         """Natural-log probabilities, words x columns of logp, of words of one length. With `counts` (logp then has
         one column), adds each piece's expected uses to it."""
         arcs, odd, n = self.arcs(words)
-        steps = [(i, j, ids, np.where((ids >= 0)[:, None], logp[ids], -np.inf)) for i, j, ids in arcs]
+        steps = [(i, j, rows, ids, logp[ids]) for i, j, rows, ids in arcs]
         for i in np.flatnonzero(odd.any(0)):  # a letter that no piece has: its bytes
-            spelled = [b if odd[k, i] else b"" for k, b in enumerate(self.bytes_at(words, i))]
-            steps.append((int(i), int(i) + 1, spelled, np.array([logp[[self.n - 257 + c for c in b]].sum(0) if b else np.full(logp.shape[1], -np.inf) for b in spelled])))
+            rows = np.flatnonzero(odd[:, i])
+            spelled = [words[k][i - 1].encode("utf-8", "surrogatepass") for k in rows]
+            steps.append((int(i), int(i) + 1, rows, spelled, np.array([logp[[self.n - 257 + c for c in b]].sum(0) for b in spelled])))
         steps.sort(key=lambda s: s[0])
         at = np.full((n + 1, len(words), logp.shape[1]), -np.inf)
         at[0] = 0
-        for i, j, _, cost in steps:
-            at[j] = np.logaddexp(at[j], at[i] + cost)
+        for i, j, rows, _, cost in steps:
+            at[j, rows] = np.logaddexp(at[j, rows], at[i, rows] + cost)
         total = at[n] + logp[self.stop]
         if counts is not None:
             back = np.full(at.shape, -np.inf)
             back[n] = logp[self.stop]
-            for i, j, ids, cost in reversed(steps):
+            for i, j, rows, ids, cost in reversed(steps):
+                after = cost + back[j, rows]
                 with np.errstate(invalid="ignore"):
-                    used = np.nan_to_num(np.exp(at[i] + cost + back[j] - total))[:, 0]
-                back[i] = np.logaddexp(back[i], cost + back[j])
+                    used = np.nan_to_num(np.exp(at[i, rows] + after - total[rows]))[:, 0]
+                back[i, rows] = np.logaddexp(back[i, rows], after)
                 if isinstance(ids, list):
                     for b, u in zip(ids, used, strict=True):
                         for c in b:
                             counts[self.n - 257 + c] += u
                 else:
-                    ok = ids >= 0
-                    counts += np.bincount(ids[ok], used[ok], self.n)
+                    np.add.at(counts, ids, used)
             counts[self.stop] += len(words)
         return total
 
