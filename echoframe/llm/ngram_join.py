@@ -8,7 +8,8 @@ prefix shingles, pairs of groups are filtered by size, and their members verifie
 
 Only components are wanted, so links inside a component need not all be found: rounds of verification against one
 pivot for each prefix shingle come first, and then every remaining pair of nodes that share a prefix shingle but
-not yet a component is verified. No pair of a component's members is built once they are connected.
+not yet a component is verified, if places in their prefixes and signatures (parities of their shared shingles) allow a
+link. No pair of a component's members is built once they are connected.
 
 How the counts are made: a pass over the texts writes, for each block of documents and each range of shingle
 hashes, the sorted hashes with the numbers of their documents. A range is gathered in one task, which
@@ -174,7 +175,13 @@ def _count(batches):
     yield from flush()
 
 
-_SETS = "doc_id long, n int, node binary, first int, shared array<long>"
+_SETS = "doc_id long, n int, node binary, first int, shared array<long>, sig array<long>"
+#: Longs in a signature, whose bits are the parities of the shared shingles that fall on them.
+SIGNATURE = 8
+
+
+def _signature(h: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount(h & (64 * SIGNATURE - 1), minlength=64 * SIGNATURE) & 1).view(np.int64)
 
 
 def _gather(percent: int):
@@ -193,7 +200,8 @@ def _gather(percent: int):
         for k in range(0, len(n), 500):
             j = range(k, min(k + 500, len(n)))
             shared = [h[ends[i] - held[i] : ends[i]] if first[i] > 0 else None for i in j]
-            yield pa.RecordBatch.from_arrays([pa.array([documents[i][0] for i in j], pa.int64()), pa.array(n[j], pa.int32()), pa.array([documents[i][2] for i in j], pa.binary()), pa.array(np.maximum(first[j], 0), pa.int32()), pa.array(shared, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "first", "shared"])
+            sig = [None if x is None else _signature(x) for x in shared]
+            yield pa.RecordBatch.from_arrays([pa.array([documents[i][0] for i in j], pa.int64()), pa.array(n[j], pa.int32()), pa.array([documents[i][2] for i in j], pa.binary()), pa.array(np.maximum(first[j], 0), pa.int32()), pa.array(shared, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "first", "shared", "sig"])
 
     def run(batches):
         block, documents, parts = None, [], []
@@ -238,17 +246,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(rows: DataFrame, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """(node, component_id) from the rows of shingle_sets(), materialized by the caller."""
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    sets = common.materialize(rows.where("first > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("first").alias("first"), F.any_value("shared").alias("shared")), "join-sets")
+    sets = common.materialize(rows.where("first > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("first").alias("first"), F.any_value("shared").alias("shared"), F.any_value("sig").alias("sig")), "join-sets")
     prefix = F.slice("shared", 1, F.col("first"))
-    group = F.concat(F.hex(F.xxhash64(F.lit(1), "n", prefix)), F.hex(F.xxhash64(F.lit(2), "n", prefix)))
-    grouped = sets.select("node", "n", group.alias("gid"), prefix.alias("prefix"))
-    members = common.materialize(grouped.select("node", "n", "gid"), "join-members")
-    postings = common.materialize(grouped.groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")).select("gid", "n", F.explode("prefix").alias("tok")), "join-postings")
+    group = F.concat(*(F.hex(F.xxhash64(F.lit(i), "n", F.size("shared"), prefix)) for i in (1, 2)))
+    # `s` counts a node's shared shingles; groups also agree in it.
+    grouped = sets.select("node", "n", F.size("shared").alias("s"), group.alias("gid"), prefix.alias("prefix"), "sig")
+    members = common.materialize(grouped.select("node", "n", "s", "gid", "sig"), "join-members")
+    postings = common.materialize(grouped.groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("s").alias("s"), F.any_value("prefix").alias("prefix")).select("gid", "n", "s", F.posexplode("prefix").alias("at", "tok")), "join-postings")
     labels = members.select("node", F.col("node").alias("comp"))
     tested = None
 
-    def near(x, y):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    def near(n1, s1, at1, n2, s2, at2):
+        """Whether two nodes whose first common shingle stands at these places among their shared ones can be similar enough."""
+        both = F.least(s1 - at1, s2 - at2)
+        return 100 * both >= percent * (n1 + n2 - both)
+
+    def close(n1, s1, sig1, n2, s2, sig2):
+        """Whether two sets can differ in as few shingles as similar ones do: they differ in those that they hold alone, and in
+        one at least for each bit of their signatures that differs."""
+        bits = sum((F.bit_count(F.get(sig1, F.lit(i)).bitwiseXOR(F.get(sig2, F.lit(i)))) for i in range(1, SIGNATURE)), F.bit_count(F.get(sig1, F.lit(0)).bitwiseXOR(F.get(sig2, F.lit(0)))))
+        return (100 + percent) * (n1 - s1 + n2 - s2 + bits) <= (100 - percent) * (n1 + n2)
 
     def test(pairs):
         nonlocal labels, tested
@@ -261,27 +278,31 @@ def components(rows: DataFrame, percent: int = PERCENT, pivot_rounds: int = PIVO
     def split(placed):
         """Prefix shingles over more than one component, with the range of components and a pivot."""
         g = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("pick").alias("pick"))
-        at = postings.join(g, "gid")
+        at = postings.join(g, "gid").withColumn("pick", F.struct("pick.*", F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("at").alias("pat")))
         return at.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("pick").alias("pick")).where("lo != hi")
 
     for i in range(pivot_rounds):
-        placed = members.join(labels, "node").withColumn("pick", F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "comp", "n"))
-        open_tokens = split(placed).select("tok", "pick.node", "pick.comp", "pick.n").withColumnsRenamed({"node": "a", "comp": "acomp", "n": "an"})
-        met = postings.join(open_tokens, "tok").where(near(F.col("n"), F.col("an"))).select("gid", "a", "acomp").distinct()
-        pairs = met.join(placed.select("gid", "node", "comp"), "gid").where("comp != acomp").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        # A pivot shares much of itself; after the first round, with a random half of the nodes before the others.
+        half = F.lit(0) if i == 0 else F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2))
+        placed = members.join(labels, "node")
+        placed = placed.withColumn("pick", F.struct(half.alias("h"), (-F.col("s") / F.col("n")).alias("d"), F.col("node").alias("a"), F.col("comp").alias("acomp"), F.col("sig").alias("asig")))
+        open_tokens = split(placed).select("tok", "pick.*")
+        met = postings.join(open_tokens, "tok").where(near(*map(F.col, ("n", "s", "at", "pn", "ps", "pat")))).select("gid", "a", "acomp", "asig", "pn", "ps").distinct()
+        pairs = met.join(placed.select("gid", "node", "comp", "n", "s", "sig"), "gid").where((F.col("comp") != F.col("acomp")) & close(*map(F.col, ("n", "s", "sig", "pn", "ps", "asig"))))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = common.materialize(pairs, "join-pairs")
         if pairs.isEmpty():
             break
         test(pairs)
     # All pairs of nodes over a prefix shingle that are not in one component by now. On one side stand the
     # nodes outside the shingle's largest component.
-    placed = members.join(labels, "node").withColumn("pick", F.lit(0))
+    placed = members.join(labels, "node").withColumn("pick", F.struct(F.lit(0).alias("h")))
     open_tokens = split(placed).select("tok")
-    there = common.materialize(postings.join(open_tokens, "tok").select("tok", "gid").join(placed.select("gid", "node", "comp", "n"), "gid").drop("gid"), "join-open")
+    there = common.materialize(postings.join(open_tokens, "tok").join(placed.select("gid", "node", "comp", "sig"), "gid").drop("gid"), "join-open")
     if not there.isEmpty():
         largest = there.groupBy("tok", "comp").count().groupBy("tok").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        few = there.join(largest, "tok").where("comp != main").select("tok", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
-        test(few.join(there, "tok").where((F.col("xc") != F.col("comp")) & near(F.col("n"), F.col("xn"))).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
+        few = there.join(largest, "tok").where("comp != main").select("tok", *(F.col(c).alias(f"x{c}") for c in ("node", "comp", "n", "s", "at", "sig"))).withColumnRenamed("xnode", "x")
+        test(few.join(there, "tok").where((F.col("xcomp") != F.col("comp")) & near(*map(F.col, ("n", "s", "at", "xn", "xs", "xat"))) & close(*map(F.col, ("n", "s", "sig", "xn", "xs", "xsig")))).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
     named = labels.join(least, "node")
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     joined = named.join(ids, "comp").select(F.col("node").alias("of"), "component_id")
