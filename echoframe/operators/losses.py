@@ -68,7 +68,7 @@ def set_rank(members: DataFrame, sims: DataFrame, cache: DataFrame, positive_top
     boundary = scored.where("role = 'boundary'").select("batch", "anchor", "c", "sim")
 
     known = cached.where(F.col("rank") <= positive_top_k).select("anchor", "c")
-    others = anchors.join(members.select("batch", F.col("clip_idx").alias("c")), "batch").where("c != anchor")
+    others = anchors.join(members.select("batch", F.col("clip_idx").alias("c")).distinct(), "batch").where("c != anchor")
     others = others.join(known, ["anchor", "c"], "left_anti").join(boundary.select("batch", "anchor", "c"), ["batch", "anchor", "c"], "left_anti")
     n_boundary = boundary.groupBy("batch", "anchor").agg(F.count("*").alias("nb"))
     hardest = Window.partitionBy("batch", "anchor").orderBy(F.round("sim", 9).desc(), "c")
