@@ -113,10 +113,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id and a text meet in the join's own partitions and order, where one of them is left.
     """
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))  # noqa: E731  no id reads as the empty string
-    found = classes(docs, id_col, text_col, budget).select(F.col("digest").alias("_digest"), key(F.col("keep_id")).alias("_key"))
+    found = classes(docs, id_col, text_col, budget).select("digest", key(F.col("keep_id")).alias("id"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumns({"_digest": F.unhex(F.sha2(text, 256)), "_key": key(F.col(id_col).cast("long"))})
-    return marked.join(found.hint("merge"), ["_digest", "_key"], "left_semi").dropDuplicates(["_digest", "_key"]).drop("_digest", "_key")
+    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), key(F.col(id_col).cast("long")).alias("id"), F.struct("*").alias("row"))
+    return rows.join(found.hint("merge"), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"]).select("row.*")
 
 
 SQL = """

@@ -131,10 +131,9 @@ def schedule(plan: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as mixed, with their columns: a row appears as often as the mix reads it to its end or in part
     (0 to PASSES times). Only the last pass may end inside a document, one for each source."""
-    cols = docs.columns
-    wide = docs.withColumns({"_size": count_words(F.col(text_col)), "_id": F.col(id_col).cast("long")})
-    mixed = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    # Rows that repeat an id and a size share their mean number of appearances, rounded up.
-    mixed = mixed.groupBy("_id", "_size").agg(F.max("_times").alias("_times"))
-    joined = wide.join(mixed, ["_id", "_size"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), count_words(F.col(text_col)).alias("words"), F.struct("*").alias("row"))
+    mixed = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.col("size").alias("words"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    # Rows that repeat an id and a size appear as often as the one that the mix reads most.
+    mixed = mixed.groupBy("mixed_id", "words").agg(F.max("times").alias("times"))
+    joined = rows.join(mixed, (rows["words"] == mixed["words"]) & rows["id"].eqNullSafe(mixed["mixed_id"]))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

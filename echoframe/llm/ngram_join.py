@@ -327,8 +327,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id is their component's, with all their columns."""
+    """The rows of docs whose id is their component's, with all their columns; rows that repeat such an id all stay, as
+    do rows without an id whose component has none."""
     found = near_duplicates(docs, id_col, text_col, percent)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").cast("string").alias("_key")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
-    return docs.withColumn("_key", key).join(keep.select(F.coalesce("_key", F.lit("")).alias("_key")), "_key", "left_semi").drop("_key").select(*docs.columns)
+    key = lambda c: F.coalesce(c.cast("string"), F.lit(""))  # noqa: E731  no id reads as the empty string
+    keep = found.where("doc_id <=> component_id").select(key(F.col("doc_id")).alias("id")).distinct()
+    rows = docs.select(key(F.col(id_col).cast("long")).alias("id"), F.struct("*").alias("row"))
+    return rows.join(keep, "id", "left_semi").select("row.*")
