@@ -54,4 +54,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
