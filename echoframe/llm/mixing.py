@@ -98,7 +98,7 @@ def _mix(rows: DataFrame, block: int, seed: int) -> DataFrame:
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     part_end = F.col("block") * block + F.col("part")
     words = F.col("full") * (last - first) + F.greatest(F.lit(0), F.least(last, part_end) - first)
-    taken = pieces.join(times, ["src", "block"]).groupBy("src", "shard", "place").agg(F.sum(words).alias("taken"))
+    taken = pieces.join(times.hint("merge"), ["src", "block"]).groupBy("src", "shard", "place").agg(F.sum(words).alias("taken"))
     return placed.join(taken, ["src", "shard", "place"], "left").join(plan.select("src", "source_size", "target"), "src").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0)).cast("long"))
 
 
@@ -121,7 +121,7 @@ def schedule(plan: DataFrame) -> DataFrame:
     dealt = slots.join(cells, "cell").where((at >= F.col("lo")) & (at < F.col("hi"))).select("slot", "shard", "src", "slots", F.lit(1).cast("long").alias("one"))
     base = _offset(dealt, ["src"], "one", "base")
     within = Window.partitionBy("src", "shard").orderBy("slot")
-    ranked = dealt.withColumn("nth", F.row_number().over(within) - 1).join(base, ["src", "shard"]).select("slot", "src", "slots", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = dealt.withColumn("nth", F.row_number().over(within) - 1).join(base.hint("merge"), ["src", "shard"]).select("slot", "src", "slots", (F.col("base") + F.col("nth")).alias("rank"))
     got = dealt.groupBy("src").agg(F.count("*").alias("got"))
     missing = plan.where("slots > 0").select("src", "slots").join(got, "src", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).where("got < slots")
     late = missing.select(F.lit(None).cast("long").alias("slot"), "src", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("rank"))
