@@ -375,7 +375,8 @@ ai AS (SELECT a.* FROM a SEMI JOIN b USING (i, j)), bi AS (SELECT b.* FROM b SEM
 SELECT round(CASE WHEN aa.h > 0 AND bb.h > 0 THEN ab.h / sqrt(aa.h * bb.h) ELSE 0 END, 6) AS cknna FROM ab, aa, bb""")
 def cknna(spark, d):
     c = src.embedding_clips(spark, d)
-    return metrics.cknna(topk.cosine_topk(c, 10), topk.dtw_topk(c, 10), 10, c.count()).select(r("cknna").alias("cknna"))
+    # Both tables (10 rows a clip) are read several times.
+    return metrics.cknna(topk.cosine_topk(c, 10).persist(), topk.dtw_topk(c, 10).persist(), 10, c.count()).select(r("cknna").alias("cknna"))
 
 
 def _centred_sql(x, y, out):
@@ -393,8 +394,8 @@ SELECT round(CASE WHEN aa.h > 0 AND bb.h > 0 THEN greatest(-1, least(1, ab.h / s
 def pool_cknna(spark, d):
     """Held-out queries against all clips."""
     c, _, held = _split(spark, d)
-    edges = topk.cosine_topk(c, 10).join(held.select("clip_idx"), "clip_idx", "left_semi")
-    return metrics.pool_cknna(edges, topk.dtw_against(held, c, 10), 10, held.count(), c.count()).select(r("cknna").alias("cknna"))
+    edges = topk.cosine_topk(c, 10).join(held.select("clip_idx"), "clip_idx", "left_semi").persist()
+    return metrics.pool_cknna(edges, topk.dtw_against(held, c, 10).persist(), 10, held.count(), c.count()).select(r("cknna").alias("cknna"))
 
 
 @query(f"WITH {CLIPS}, {sql_cosine_edges(5)}, {sql_dtw_edges(1)} SELECT round(avg(CASE WHEN m.clip_idx IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM target t LEFT JOIN model m ON m.clip_idx = t.clip_idx AND m.neighbor_idx = t.neighbor_idx")
@@ -508,7 +509,7 @@ SELECT batch, round(set_loss, 6) AS set_loss, round(rank_loss, 6) AS rank_loss,
 def set_rank_loss(spark, d):
     """Every clip anchors a group of two positives and one boundary; ten groups make a batch."""
     c = src.embedding_clips(spark, d)
-    cache = topk.dtw_topk(c, K)
+    cache = topk.dtw_topk(c, K).persist()  # read several times; K rows a clip
     batch = F.expr("clip_idx div 10").alias("batch")
     pick = lambda cond, role, slot: cache.where(cond).select(batch, F.col("clip_idx").alias("anchor"), slot.cast("int").alias("slot"), F.lit(role).alias("role"), F.col("neighbor_idx").alias("clip_idx"))
     members = c.select(batch, F.col("clip_idx").alias("anchor"), F.lit(0).alias("slot"), F.lit("anchor").alias("role"), "clip_idx")
