@@ -11,8 +11,10 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MEMO = 300_000
+#: Words that a process remembers; rows that are encoded before they are sent on.
+MEMO, ROWS = 200_000, 500
 #: Unicode white space, and the splitting pattern that the vocabulary file names.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _white = regex.compile(f"[{WHITE}]+")
@@ -54,7 +57,7 @@ class Codec:
         if kinds != ["NFC", "Replace", "Lowercase"] or d["decoder"] or [p["type"] for p in d["pre_tokenizer"]["pretokenizers"]] != ["Split", "ByteLevel"]:
             raise ValueError("a tokenizer of another kind")
         self.words = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE))
-        self.memo: dict[str, tuple[list[int], str, str]] = {}
+        self.memo: dict[str, tuple[array, str, str]] = {}
 
     def normalize(self, text: str) -> str:
         text = _white.sub(" ", unicodedata.normalize("NFC", text))
@@ -84,10 +87,10 @@ class Codec:
                     heapq.heappush(queue, (found[0], x, ids[x], ids[y], found[1]))
         return [x for x in ids if x >= 0]
 
-    def known(self, word: str) -> tuple[list[int], str, str]:
+    def known(self, word: str) -> tuple[array, str, str]:
         found = self.memo.get(word)
         if found is None:
-            ids = self.merge(word)
+            ids = array("i", self.merge(word))
             found = (ids, " ".join(map(str, ids)), self.decode(ids))
             if len(word) < 64:
                 if len(self.memo) >= MEMO:
@@ -100,7 +103,7 @@ class Codec:
         for piece in self.split_special.split(text) if self.split_special else [text]:
             if piece in self.special:
                 i = self.special[piece]
-                yield [i], str(i), piece
+                yield array("i", [i]), str(i), piece
             elif piece:
                 yield from map(self.known, self.words.findall(self.normalize(piece)))
 
@@ -132,22 +135,30 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     Null text counts as empty (no tokens; digests of the empty string). Repeated rows and null ids are
     encoded row by row; other columns are not read. One narrow pass without a shuffle; memory is
-    bounded by an Arrow batch and the memo of `MEMO` words.
+    bounded by an Arrow batch, the ids of `ROWS` rows and the memo of `MEMO` words.
     """
     common.ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(model))  # bounded by the vocabulary file
 
     def run(batches):
         c = codec(spec.value)
-        for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                parts = list(c.parts(text or ""))
-                n = sum([len(p[0]) for p in parts])
-                rows.append((n, _digest(" ".join([p[1] for p in parts])), _digest(" ".join([p[2] for p in parts])), [i for p in parts for i in p[0]] if with_ids else None))
-            n, ids, decoded, lists = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
+        for whole in batches:
+            for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                ids, ends, n, digests, decoded = array("i"), [0], [], [], []
+                for text in b.column(1).to_pylist():
+                    parts = list(c.parts(text or ""))
+                    n.append(sum([len(p[0]) for p in parts]))
+                    digests.append(_digest(" ".join([p[1] for p in parts])))
+                    decoded.append(_digest(" ".join([p[2] for p in parts])))
+                    if with_ids:
+                        for p in parts:
+                            ids.extend(p[0])
+                        ends.append(len(ids))
+                columns = [b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ENCODED + ", ids array<int>" * with_ids)
