@@ -24,6 +24,8 @@ CLASSES = 64
 GRAMS = CLASSES + CLASSES**2 + CLASSES**3
 #: Rows that the classifier is fitted on at most, over all languages, and landmarks among them.
 SAMPLE, LANDMARKS, RIDGE = 1200, 120, 0.05
+#: Rows of a batch that are read into Python at a time.
+ROWS = 1000
 #: Slope of the softmax that turns responses into scores.
 SHARP = 3
 _letter = re.compile(r"[^\W\d_]")
@@ -168,8 +170,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         seen = np.zeros(GRAMS, bool)
-        for b in batches:
-            pred, _ = predict(b.column(at).to_pylist(), seen)
-            yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+        for whole in batches:
+            for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                pred, _ = predict(b.column(at).to_pylist(), seen)
+                yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,7 +34,7 @@ WORDS, PERCENT, PIVOT_ROUNDS = 5, 80, 3
 BLOCK_BYTES = 24 << 20
 #: Bits of a shingle's hash that are kept.
 BITS = 50
-MEMO = 500_000
+MEMO = 200_000
 
 
 class WordHash(dict):
