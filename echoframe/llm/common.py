@@ -20,7 +20,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this library where the repository is not on their path."""
+    """Lets Python workers import this library where the repository is not on their path, and has Arrow batches of texts
+    hold 2000 rows where the session leaves Spark's 10000: a batch of long texts takes that much less memory."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, "2000")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
