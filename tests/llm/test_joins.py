@@ -272,3 +272,33 @@ def test_ties_and_empty_tables(spark):
     got = ann.search(frame(spark, same), F.col("vec_id") == 3, k=10).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 4, 5] and {r.score for r in got} == {0.0}
     assert ann.search(frame(spark, same).limit(0), F.lit(True)).count() == 0
+
+
+def test_windows_that_agree_meet_or_share_a_hub():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = 40
+        group, doc = np.sort(rng.integers(3, size=n)), rng.integers(12, size=n).astype(np.uint64)
+        order = np.lexsort((doc, group))
+        group, doc = group[order], doc[order]
+        tags = np.array([rng.integers(0, 256, size=10) for _ in range(4)])[rng.integers(4, size=n)]
+        tags = np.where(rng.random((n, 10)) < 0.6, tags, rng.integers(0, 256, size=(n, 10))).astype(np.uint8)
+        agree = (tags[:, None] == tags[None]) & (tags[:, None] > 0)
+        met = {frozenset(p) for p in zip(*(x.tolist() for x in substring_dedup.further_rounds(group, doc, tags)), strict=True)}
+        for a, b in combinations(range(n), 2):
+            if group[a] != group[b] or doc[a] == doc[b] or (group == group[a]).sum() < 4 or not substring_dedup._ALLOWS[agree[a, b] @ (1 << np.arange(10))]:
+                continue
+            hubs = [h for h in range(n) if agree[a, h][agree[a, b]].all() and agree[b, h][agree[a, b]].all()]
+            assert {a, b} in met or any(doc[h] in (doc[a], doc[b]) or ({a, h} in met and {b, h} in met) for h in hubs)
+
+
+def test_passages_around_a_stock_sentence(docs):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"v{i}" for i in rng.integers(50000, size=n))
+    stock = text(30)
+    rows = [(i, f"{text(60)} {stock} {text(60)}") for i in range(150)]
+    for i in range(16):
+        passage = f"{text(10)} {stock} {text(10)}"
+        rows += [(1000 + 2 * i + k, f"{text(40)} {passage} {text(40)}") for k in range(2)]
+    got = substring_dedup.passages(docs(rows), block_bytes=9000).collect()
+    assert {(r.doc_id, r.partner_id) for r in got} == {(1000 + i, 1000 + (i ^ 1)) for i in range(32)}
