@@ -302,3 +302,18 @@ def test_passages_around_a_stock_sentence(docs):
         rows += [(1000 + 2 * i + k, f"{text(40)} {passage} {text(40)}") for k in range(2)]
     got = substring_dedup.passages(docs(rows), block_bytes=9000).collect()
     assert {(r.doc_id, r.partner_id) for r in got} == {(1000 + i, 1000 + (i ^ 1)) for i in range(32)}
+
+
+def test_every_passage_of_a_candidate(docs):
+    a, b = np.arange(300), np.arange(300)
+    b[:10] = b[70:120] = b[180:220] = -1
+    assert substring_dedup.verify_all(a, b) == [(10, 70), (120, 180), (220, 300)]
+    assert substring_dedup.verify_all(a, -a - 1) == []
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"v{i}" for i in rng.integers(50000, size=n))
+    rows = []
+    for i in range(10):
+        one, two = text(50), text(50)
+        rows += [(2 * i + k, f"{text(20)} {one} {text(30)} {two} {text(20)}") for k in range(2)]
+    got = substring_dedup.passages(docs(rows)).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got} == {(i, s, s + 50) for i in range(20) for s in (20, 100)}
