@@ -317,3 +317,27 @@ def test_every_passage_of_a_candidate(docs):
         rows += [(2 * i + k, f"{text(20)} {one} {text(30)} {two} {text(20)}") for k in range(2)]
     got = substring_dedup.passages(docs(rows)).collect()
     assert {(r.doc_id, r.start, r.end) for r in got} == {(i, s, s + 50) for i in range(20) for s in (20, 100)}
+
+
+def test_links_of_passages_are_kept(docs):
+    rng = np.random.default_rng(10)
+    text = lambda n: " ".join(f"v{i}" for i in rng.integers(50000, size=n))
+    passage = text(60)
+    rows = [(i, f"{text(30)} {passage} {text(30)}") for i in range(30)]
+    inner, one, two = text(60), text(220), text(220)
+    rows += [(100 + k, f"{text(20)} {one} {inner} {one[::-1]} {text(20)}") for k in range(2)]
+    rows += [(200 + k, f"{text(20)} {two} {inner} {two[::-1]} {text(20)}") for k in range(2)]
+    got = substring_dedup.passages(docs(rows), block_bytes=9000).collect()
+    spans = {(r.doc_id, r.partner_id) for r in got}
+    assert spans == {(b, a) for a, b in spans}
+
+    def reached(i):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [b for a, b in spans if a == todo[0] and b not in seen]
+            seen |= set(todo)
+            todo.pop(0)
+        return seen
+
+    assert reached(7) == set(range(30))
+    assert reached(100) == {100, 101, 200, 201}
