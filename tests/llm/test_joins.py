@@ -341,3 +341,38 @@ def test_links_of_passages_are_kept(docs):
 
     assert reached(7) == set(range(30))
     assert reached(100) == {100, 101, 200, 201}
+
+
+def test_passages_with_words_inserted(docs):
+    rng = np.random.default_rng(11)
+    text = lambda n: [f"v{i}" for i in rng.integers(50000, size=n)]
+    rows, words_of = [], {}
+    for i, (length, more) in enumerate([(50, 1), (60, 1), (80, 1), (95, 1), (95, 4), (80, 10), (90, 12)] * 4):
+        passage = text(length)
+        edited = passage[: length // 2] + text(more) + passage[length // 2 :]
+        words_of[2 * i], words_of[2 * i + 1] = length, length + more
+        rows += [(2 * i + k, " ".join(text(30) + p + text(30))) for k, p in enumerate((passage, edited))]
+    got = substring_dedup.passages(docs(rows), block_bytes=9000).collect()
+    spans = {(r.doc_id, r.start, r.end, r.partner_id, r.partner_start, r.partner_end) for r in got}
+    assert spans == {(i, 30, 30 + n, i ^ 1, 30, 30 + words_of[i ^ 1]) for i, n in words_of.items()}
+
+
+def test_verify_near():
+    rng = np.random.default_rng(3)
+    p, q, r = (rng.integers(1 << 16, size=n) for n in (25, 25, 60))
+    a, b = np.concatenate((p, q)), np.concatenate((p, [1, 2, 3], q))
+    assert substring_dedup.verify_near(a, b, -20, 20) == [(0, 50, 0, 53)]
+    assert substring_dedup.verify_near(b, a, -20, 20) == [(0, 53, 0, 50)]
+    assert substring_dedup.verify_near(a, b, 0, 0) == []
+    # 20 more of 50 leave less than 0.8; what has 46 by itself stays.
+    assert substring_dedup.verify_near(a, np.concatenate((p, r[:20], q)), -20, 20) == []
+    assert substring_dedup.verify_near(np.concatenate((r, p)), np.concatenate((r, q[:18], p)), -20, 20) in ([(0, 60, 0, 60)], [(0, 85, 0, 103)])
+
+
+def test_near_shifts():
+    rng = np.random.default_rng(4)
+    for span in (10, 41, 200, 1000):
+        x = np.sort(rng.integers(-span, span, size=25)).astype(np.int32)
+        parts = substring_dedup.near_shifts(x)
+        assert all(x[b - 1] - x[a] <= 2 * substring_dedup.BAND for a, b in parts)
+        assert all(any(a <= i <= j < b for a, b in parts) for i in range(25) for j in range(i, 25) if x[j] - x[i] <= substring_dedup.BAND)
