@@ -299,7 +299,7 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
             spelled[[w == END for w in some]] = -np.inf if n else 0.0
             with np.errstate(divide="ignore", invalid="ignore"):
                 whole = np.where(size > 0, np.log(np.maximum(c - discount, 0) / size), -np.inf)
-            value = np.maximum(np.logaddexp(whole, free + spelled), -1e4) / math.log(10)
+            value = np.logaddexp(whole, free + spelled) / math.log(10)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.sum(1), pa.int64()), *(pa.array(np.ascontiguousarray(value[:, i]), pa.float32()) for i in range(k))], names=["word", "c", *(f"v{i}" for i in range(k))])
 
     values = [f"v{i}" for i in range(k)]
@@ -319,7 +319,8 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
             ids, ns = np.cumsum(_unpack(packed)), _unpack(times)
             each = prior + ns @ value[ids]
             best = each.max()
-            out.append((int(ns[is_known[ids]].sum()), float(ns @ base[ids]), float(best + np.log10((10 ** (each - best)).sum()))))
+            # A word that no language can spell gives -inf.
+            out.append((int(ns[is_known[ids]].sum()), float(ns @ base[ids]), float(best + np.log10((10 ** (each - best)).sum())) if best > -np.inf else -math.inf))
         n_known, b, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(n_known, pa.int64()), pa.array([n] * len(b), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], names=[f.split()[0] for f in SCORED.split(", ")])
 

@@ -195,5 +195,16 @@ def test_a_text_pays_for_one_language_only(docs):
     assert got and all(0.9 * 0.301 * 200 < r.score - r.base_score < 1.1 * 0.301 * 201 for r in got)
 
 
+def test_long_words_cost_what_they_cost(docs):
+    rng = np.random.default_rng(2)
+    a, b = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n)) for n in (4000, 8000))
+    first, second = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(first, a), (second, b), *((1000 + i, f"the cat number {i} sat") for i in range(40))]
+    got = {r.doc_id: r.score for r in lm_score.score(docs(rows), PIECES, rounds=0).collect()}
+    lat = lm_score.lattice(tuple(load_pieces(PIECES)))
+    short, long = (lat.forward([w], lat.prior()[:, None])[0, 0] / math.log(10) for w in (a, b))
+    assert short < -4400 and math.isclose(got[second] - got[first], long - short, rel_tol=1e-5)
+
+
 def test_scores_of_empty_tables(docs):
     assert lm_score.score(docs(ODD).limit(0), PIECES).count() == 0
