@@ -1,4 +1,4 @@
-"""Exact deduplication by Grace hashing.
+"""Exact deduplication after Grace hashing, with a sort in place of its recursive partitioning to spill files.
 
 Records are partitioned by their content's hash: first Spark's exchange deals them to
 partitions, then each partition's external sort (which spills to Spark's own files) orders them by the
