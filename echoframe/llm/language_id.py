@@ -79,8 +79,8 @@ def fit(docs: DataFrame, learn, id_col="doc_id", text_col="text", lang_col="lang
             rows = [(i, lang, presence(t, seen)) for i, lang, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if _has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["id", "lang", "grams"])
 
-    # At most `size` rows of at most GRAMS numbers come to the driver.
-    got = sorted((r.lang, r.id, r.grams) for r in sample_rows(docs, id_col, text_col, lang_col, learn, size).select("_id", "_lang", "_text").mapInArrow(grams, "id string, lang string, grams array<int>").collect())[: 2 * size]
+    # One row, of at most GRAMS numbers, for each chosen id and language comes to the driver: `size`, or one a language.
+    got = sorted((r.lang, r.id, r.grams) for r in sample_rows(docs, id_col, text_col, lang_col, learn, size).select("_id", "_lang", "_text").mapInArrow(grams, "id string, lang string, grams array<int>").groupBy("id", "lang").agg(F.min("grams").alias("grams")).collect())
     langs = sorted({g[0] for g in got})
     if not langs:
         return [], np.zeros(0, np.int64), np.zeros((0, 0))
@@ -112,7 +112,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def _predictor(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, size: int):
-    """A function from texts to (languages, scores), for use on executors."""
+    """A function from texts to (languages, scores), for use on executors, and whether any language was learned."""
     langs, kept, weights = fit(docs, learn, id_col, text_col, lang_col, size)
     table = np.zeros((GRAMS, len(langs)), np.float32)
     if langs:
@@ -136,7 +136,7 @@ def _predictor(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str
                 pred[i], score[i] = langs[j], float(row[j])
         return pred, score
 
-    return predict
+    return predict, bool(langs)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SAMPLE) -> DataFrame:
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     common.ship(docs.sparkSession)
     out = F.coalesce(held_out(id_col), F.lit(True))
-    predict = _predictor(docs, ~out, id_col, text_col, lang_col, size)
+    predict, _ = _predictor(docs, ~out, id_col, text_col, lang_col, size)
 
     def run(batches):
         seen = np.zeros(GRAMS, bool)
@@ -163,16 +163,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SAMPLE) -> DataFrame:
     """The rows of docs whose text is in a language that was learned, with all their columns: rejected are
-    null texts and texts without a letter. One narrow pass after the fit."""
+    null texts and texts without a letter, and only these where there is nothing to learn from. One narrow pass after the fit."""
     common.ship(docs.sparkSession)
-    predict = _predictor(docs, F.coalesce(~held_out(id_col), F.lit(False)), id_col, text_col, lang_col, size)
+    predict, learned = _predictor(docs, F.coalesce(~held_out(id_col), F.lit(False)), id_col, text_col, lang_col, size)
     at = docs.columns.index(text_col)
 
     def run(batches):
         seen = np.zeros(GRAMS, bool)
         for whole in batches:
             for b in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
-                pred, _ = predict(b.column(at).to_pylist(), seen)
-                yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+                texts = b.column(at).to_pylist()
+                keep = [p != "und" for p in predict(texts, seen)[0]] if learned else [_has_letter(t) for t in texts]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 from echoframe.llm import exact_dedup, language_id, lm_score, secrets
 from echoframe.llm.token_counts import SPACE, load_pieces
@@ -148,6 +149,17 @@ def test_nothing_to_learn_from(docs):
     assert language_id.identify(docs(corpus()).limit(0)).count() == 0
 
 
+def test_nothing_learned_keeps_texts_with_a_letter(docs):
+    rows = [(1, "abc", None, "s"), (2, "12 !", None, "s"), (3, None, None, "s"), (4, "ü", None, "s")]
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs(rows)).collect()) == [1, 4]
+
+
+def test_every_language_is_learned(docs):
+    rows = [(i, f"{chr(97 + i) * 9} text", f"l{i}", "s") for i in range(9)] + [(0, "aaaaaaaaa text", "l0", "s")] * 20
+    langs, _, weights = language_id.fit(docs(rows), F.lit(True), size=2)
+    assert langs == [f"l{i}" for i in range(9)] and weights.shape[1] == 9
+
+
 def test_presence_is_a_set_of_ngrams():
     seen = np.zeros(language_id.GRAMS, bool)
     a, b = language_id.presence("abab", seen), language_id.presence("abababab", seen)
