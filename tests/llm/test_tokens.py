@@ -68,7 +68,22 @@ def test_ids_and_decoding_equal_the_library(codec):
 def test_stale_entries_are_skipped(codec):
     lib = Tokenizer.from_file(WORDS)
     for w in ("aaaaaaaaaaaaaaaa", "thethethethe", "abababababab"):
-        assert codec.merge(w) == lib.encode(w, add_special_tokens=False).ids
+        assert list(codec.merge(w)) == lib.encode(w, add_special_tokens=False).ids
+
+
+def test_letters_that_are_younger_than_the_library():
+    lib, codec = Tokenizer.from_file(WORDS), bpe.Codec(bpe.load_spec(WORDS))
+    points = [int(x, 16) for r in bpe.YOUNG for x in r.split("-")] + [x for a, b, _ in bpe.CAPITALS for x in (a, b)] + list(range(0x80, 0x3000, 7))
+    for c in map(chr, points):
+        s = f"a{c}a {c}{c} 1{c}"
+        assert codec.encode(s) == lib.encode(s, add_special_tokens=False).ids, repr(s)
+
+
+def test_memo_holds_two_generations():
+    calls = []
+    m = bpe.Memo(lambda k: calls.append(k) or k.upper(), 3)
+    assert [m[k] for k in "abcdab"] == list("ABCDAB") and calls == list("abcd")
+    assert m["x" * 100] == "X" * 100 and "x" * 100 not in m and len(m) <= 3
 
 
 def test_bpe_rows(spark, docs):
