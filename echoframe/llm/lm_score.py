@@ -1,17 +1,17 @@
 """Language-model scores: the likelihood of a text over a subword lattice.
 
-The model is a mixture over the languages of the training rows, and a text's probability sums over them (its own
-label is not looked at). Within a language, a word's lattice holds every way to cut it into pieces of an existing vocabulary (with single bytes where no
-piece fits) and an arc for the whole word. The word's probability is the sum over all paths, by a
-forward recursion in log space; a document's is the product over its words and its end, since all
-paths meet between words. The vocabulary is given; the scores are learned here: arcs for whole words hold
-their count in the training rows less a discount, and the mass that discounts free goes to the paths
-through pieces, whose scores start from the order of the vocabulary and are re-estimated by
-expectation maximisation over all distinct training words of the language.
-
-Counts are exact and cover all training rows. Documents are read once into blocks: a block holds its distinct
-words and, for each document, their numbers. Words meet the counts by an equi-join with one row per block and
-word, so a word in every document is a row per block.
+A word's lattice holds every way to cut it into pieces of an existing vocabulary (single bytes where a letter is no
+piece), and the vocabulary's own scores weight the cuts: their sum over all paths, by a forward
+recursion in log space, is the probability of spelling the word. The training rows add an arc for each whole word that
+they hold, weighted by its discounted count; the mass that discounts free goes to the spelled paths. So a word's
+marginal is over the whole-word arc and all segmentations, and a document's is the product over its words and its
+end, since all paths meet between words. Counts are kept for each language label of the training rows, and a
+text's probability sums over the labels (its own is not looked at).
+
+Spelling does not depend on the language, so each distinct word of the corpus passes the recursion once. Counts are exact and
+cover all training rows. Documents are read once into blocks: a block holds its distinct words and, for each
+document, their numbers. Words meet the counts by an equi-join with one row per block and word, so a word
+in every document is a row per block.
 """
 
 from __future__ import annotations
@@ -30,120 +30,100 @@ from .token_counts import SPACE, load_pieces
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 24 << 20
-ROUNDS = 2
-#: Languages with scores of their own.
-LANGUAGES = 8
+#: The vocabulary's scores are places in its order, 0, -1, ...: a piece weighs 1 / (OFFSET - score).
+OFFSET = 50.0
+#: Weight of each byte, and of the end of a word, beside the pieces that do not begin a word.
+BYTE, STOP = 1e-6, 1.0
 #: The end of a document as a token: no word holds a blank.
 END = " "
-_MIX, _INVALID = np.uint64(0x9E3779B97F4A7C15), -1
-LONGEST = 16
+_MIX, _EMPTY, _PREFIX = np.uint64(0x9E3779B97F4A7C15), -1, -2
 
 
 class Lattice:
-    """Forward recursion over batches of words of one length, and expected counts of pieces."""
+    """Forward recursion over batches of words of one length, under {piece: score}.
 
-    def __init__(self, pieces: list[str]):
-        self.pieces = [p for p in pieces if len(p) <= LONGEST]
-        self.n = len(self.pieces) + 257  # then 256 bytes and the end of a word
-        self.stop = self.n - 1
-        self.starts = np.array([p.startswith(SPACE) for p in self.pieces] + [False] * 257)
+    Pieces that begin a word share one distribution; the others, bytes and the end of a word share another. With
+    `offset` None the scores are natural-log weights themselves.
+    """
+
+    def __init__(self, scores: dict[str, float], offset: float | None = OFFSET):
+        self.pieces = list(scores)
+        score = np.array([scores[p] for p in self.pieces])
+        weight = np.concatenate([np.exp(score) if offset is None else 1 / (offset - score), np.full(256, BYTE), [STOP]])
+        starts = np.array([p.startswith(SPACE) for p in self.pieces] + [False] * 257)
+        self.logp = np.log(weight / np.where(starts, weight[starts].sum(), weight[~starts].sum()))
+        self.stop, self.bytes = self.logp[-1], self.logp[-257:-1]
+        self.longest = max(map(len, self.pieces))
         codes = sorted({c for p in self.pieces for c in p})
         self.code = np.zeros(0x110000, np.uint64)
         self.code[[ord(c) for c in codes]] = np.arange(1, len(codes) + 1, dtype=np.uint64)
-        keys = np.zeros(len(self.pieces), np.uint64)
-        for i, p in enumerate(self.pieces):
-            h = np.zeros(1, np.uint64)
-            for c in p:
-                h = self._add(h, self.code[ord(c) : ord(c) + 1])
-            keys[i] = h[0]
+        self.spelled = np.ones(0x110000, bool)  # by bytes: letters that are no piece
+        self.spelled[[ord(p) for p in self.pieces if len(p) == 1]] = False
+        # An open-addressing table of all pieces and of what begins one.
+        number = {p[:k]: _PREFIX for p in self.pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(self.pieces)}
+        known = list(number)
+        keys = np.zeros(len(known), np.uint64)
+        for n in range(1, self.longest + 1):
+            at = [i for i, p in enumerate(known) if len(p) == n]
+            x = self.code[np.array([np.frombuffer(known[i].encode("utf-32-le"), np.uint32) for i in at]).reshape(len(at), n)]
+            h = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                h = self._add(h, x[:, k])
+            keys[at] = h
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
         bits = max(10, int(len(keys) * 4).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, _INVALID, np.int32)
-        for i, k in enumerate(keys):
-            at = int(k >> self.shift)
-            while self.ids[at] >= 0:
+        self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, _EMPTY, np.int32)
+        for h, p in zip(keys, known, strict=True):
+            at = int(h >> self.shift)
+            while self.ids[at] != _EMPTY:
                 at = (at + 1) & self.mask
-            self.keys[at], self.ids[at] = k, i
+            self.keys[at], self.ids[at] = h, number[p]
 
     @staticmethod
     def _add(h, code):
         with np.errstate(over="ignore"):
             return (h + code + np.uint64(1)) * _MIX ^ ((h + code) >> np.uint64(29))
 
-    def find(self, h):
-        """(places in h, numbers of the pieces there) of the hashes that are some piece's."""
-        left = np.arange(len(h))
-        at = (h >> self.shift).astype(np.int32)
-        rows, found = [], []
-        while len(left):
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Of each hash: its piece's number, _PREFIX where it only begins pieces, or _EMPTY."""
+        at = (h >> self.shift).astype(np.int64)
+        out = self.ids[at]
+        left = np.flatnonzero((out != _EMPTY) & (self.keys[at] != h))
+        at = at[left]
+        while len(left):  # an empty slot ends the probing
+            at = (at + 1) & self.mask
             ids = self.ids[at]
-            some = ids >= 0  # an empty slot ends the probing
-            left, at, ids = left[some], at[some], ids[some]
-            hit = self.keys[at] == h[left]
-            rows.append(left[hit])
-            found.append(ids[hit])
-            left, at = left[~hit], (at[~hit] + 1) & self.mask
-        rows, found = np.concatenate(rows or [left]), np.concatenate(found or [left])
-        order = np.argsort(rows, kind="stable")
-        return rows[order], found[order]
-
-    def prior(self) -> np.ndarray:
-        """log scores from the vocabulary's own order: weight 1 / (place + 50)."""
-        return self.normalize(np.concatenate([1 / (np.arange(len(self.pieces)) + 50.0), np.full(256, 1e-6), [1.0]]), 1e-9)
-
-    def normalize(self, weight: np.ndarray, least: float) -> np.ndarray:
-        """Pieces that begin a word share one distribution; the others, bytes and the end share another."""
-        weight = weight + least
-        total = np.where(self.starts, weight[self.starts].sum(), weight[~self.starts].sum())
-        return np.log(weight / total)
-
-    def arcs(self, words: list[str]):
-        """Words of one length: per (start, end) the words that have a piece there and its number; letters no piece has."""
-        x = np.array([np.frombuffer((SPACE + w).encode("utf-32-le", "surrogatepass"), np.uint32) for w in words])
-        code = self.code[x]
-        arcs, n = [], x.shape[1]
-        for i in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i, min(n, i + LONGEST)):
-                h = self._add(h, code[:, j])
-                rows, ids = self.find(h)
-                if len(rows):
-                    arcs.append((i, j + 1, rows, ids))
-        return arcs, code == 0, n
-
-    def forward(self, words: list[str], logp: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-        """Natural-log probabilities, words x columns of logp, of words of one length. With `counts` (logp then has
-        one column), adds each piece's expected uses to it."""
-        arcs, odd, n = self.arcs(words)
-        steps = [(i, j, rows, ids, logp[ids]) for i, j, rows, ids in arcs]
-        for i in np.flatnonzero(odd.any(0)):  # a letter that no piece has: its bytes
-            rows = np.flatnonzero(odd[:, i])
-            spelled = [words[k][i - 1].encode("utf-8", "surrogatepass") for k in rows]
-            steps.append((int(i), int(i) + 1, rows, spelled, np.array([logp[[self.n - 257 + c for c in b]].sum(0) for b in spelled])))
-        steps.sort(key=lambda s: s[0])
-        at = np.full((n + 1, len(words), logp.shape[1]), -np.inf)
+            out[left] = ids
+            on = (ids != _EMPTY) & (self.keys[at] != h[left])
+            left, at = left[on], at[on]
+        return out
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Natural-log probabilities of words of one length, each with its end."""
+        x = np.array([np.frombuffer((SPACE + w).encode("utf-32-le", "surrogatepass"), np.uint32) for w in words]).T
+        code, spelled = self.code[x], self.spelled[x]
+        n, all_rows = len(x), np.arange(len(words))
+        at = np.full((n + 1, len(words)), -np.inf)
         at[0] = 0
-        for i, j, rows, _, cost in steps:
-            at[j, rows] = np.logaddexp(at[j, rows], at[i, rows] + cost)
-        total = at[n] + logp[self.stop]
-        if counts is not None:
-            back = np.full(at.shape, -np.inf)
-            back[n] = logp[self.stop]
-            for i, j, rows, ids, cost in reversed(steps):
-                after = cost + back[j, rows]
-                with np.errstate(invalid="ignore"):
-                    used = np.nan_to_num(np.exp(at[i, rows] + after - total[rows]))[:, 0]
-                back[i, rows] = np.logaddexp(back[i, rows], after)
-                if isinstance(ids, list):
-                    for b, u in zip(ids, used, strict=True):
-                        for c in b:
-                            counts[self.n - 257 + c] += u
-                else:
-                    np.add.at(counts, ids, used)
-            counts[self.stop] += len(words)
-        return total
+        for i in range(n):
+            rows, h = all_rows, np.zeros(len(words), np.uint64)
+            for j in range(i, min(n, i + self.longest)):
+                h = self._add(h, code[j, rows])
+                ids = self.find(h)
+                hit = ids >= 0
+                if hit.any():
+                    to = rows[hit]
+                    at[j + 1, to] = np.logaddexp(at[j + 1, to], at[i, to] + self.logp[ids[hit]])
+                on = ids != _EMPTY
+                rows, h = rows[on], h[on]
+                if not len(rows):
+                    break
+            for k in np.flatnonzero(spelled[i]):
+                cost = self.bytes[list(chr(x[i, k]).encode("utf-8", "surrogatepass"))].sum()
+                at[i + 1, k] = np.logaddexp(at[i + 1, k], at[i, k] + cost)
+        return at[n] + self.stop
 
     def batches(self, words: list[str]):
         """(positions, words of one length) in pieces of bounded size."""
@@ -158,12 +138,14 @@ class Lattice:
 
 
 @lru_cache(maxsize=2)
-def lattice(pieces: tuple[str, ...]) -> Lattice:
-    return Lattice(list(pieces))
+def lattice(scores: tuple[tuple[str, float], ...], offset: float | None = OFFSET) -> Lattice:
+    return Lattice(dict(scores), offset)
 
 
-def _block_schema(k: int) -> str:
-    return "block long, idx int, word string, doc_id long, held_out boolean, n_tokens long, ids binary, ns binary" + "".join(f", n{i} long" for i in range(k))
+_BLOCK = "block long, idx int, word string, doc_id long, held_out boolean, n_tokens long, ids binary, ns binary, counts array<struct<lang:int,n:long>>"
+_COUNTS = pa.list_(pa.struct([("lang", pa.int32()), ("n", pa.int64())]))
+_NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
+_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), _COUNTS]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -175,28 +157,38 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[b[0]], offset=1).astype(np.int64)
 
 
+def _counts_by_word(train: dict[int, list], size: int) -> pa.ListArray:
+    """Of each word: the languages whose training rows hold it, with the numbers."""
+    of, lang, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k, ids in train.items():
+        times = np.bincount(np.concatenate(ids), minlength=size)
+        at = np.flatnonzero(times)
+        of, lang, n = [*of, at], [*lang, np.full(len(at), k, np.int32)], [*n, times[at]]
+    of, lang, n = map(np.concatenate, (of, lang, n))
+    order = np.argsort(of, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=size))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(lang[order]), pa.array(n[order])], fields=list(_COUNTS.value_type)))
+
+
 def _to_blocks(block_bytes: int, langs: list):
-    names = [f.split()[0] for f in _block_schema(len(langs)).split(", ")]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()] + [pa.int64()] * len(langs)
     place = {x: i for i, x in enumerate(langs)}
 
-    def rows(block, columns: dict):
-        n = len(next(iter(columns.values())))
-        columns = columns | {"block": [block] * n}
-        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, types, strict=True)], names=names)
+    def rows(block, n, **columns):
+        columns["block"] = pa.array([block] * n, pa.int64())
+        return pa.RecordBatch.from_arrays([columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
     def flush(block, index, docs, train):
-        n_train = [np.bincount(np.concatenate(t), minlength=len(index)) if t else np.zeros(len(index), np.int64) for t in train]
-        words = [w.decode() for w in index]
+        words, counts = [w.decode() for w in index], _counts_by_word(train, len(index))
         for k in range(0, len(words), 20_000):
-            j = slice(k, k + 20_000)
-            yield rows(block, {"idx": list(range(k, min(k + 20_000, len(words)))), "word": words[j]} | {f"n{i}": x[j] for i, x in enumerate(n_train)})
+            n = min(20_000, len(words) - k)
+            yield rows(block, n, idx=list(range(k, k + n)), word=words[k : k + n], counts=counts.slice(k, n))
         for k in range(0, len(docs), 1000):
-            yield rows(block, dict(zip(("doc_id", "held_out", "n_tokens", "ids", "ns"), map(list, zip(*docs[k : k + 1000], strict=True)), strict=True)))
+            some = docs[k : k + 1000]
+            yield rows(block, len(some), **dict(zip(("doc_id", "held_out", "n_tokens", "ids", "ns"), map(list, zip(*some, strict=True)), strict=True)))
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
-        index, docs, train, size = {}, [], [[] for _ in langs], 0
+        index, docs, train, size = {}, [], {}, 0
         for b in batches:
             for doc_id, out, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = (text or "").encode()
@@ -204,13 +196,13 @@ def _to_blocks(block_bytes: int, langs: list):
                 found.append(END.encode())
                 ids = np.fromiter([index.setdefault(w, len(index)) for w in found], np.int64, len(found))
                 if not out:
-                    train[place.get(lang, len(langs) - 1)].append(ids)
+                    train.setdefault(place[lang], []).append(ids.astype(np.int32))
                 ids, ns = np.unique(ids, return_counts=True)
                 docs.append((doc_id, out, len(found), _pack(np.diff(ids, prepend=0)), _pack(ns)))
                 size += len(raw) + 200
                 if size > block_bytes:
                     yield from flush(block, index, docs, train)
-                    block, index, docs, train, size = block + 1, {}, [], [[] for _ in langs], 0
+                    block, index, docs, train, size = block + 1, {}, [], {}, 0
         if docs:
             yield from flush(block, index, docs, train)
 
@@ -222,105 +214,81 @@ def held_out(id_col: str):
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: What a language adds to the spelled log10 probability of a word that its training rows hold.
+_MORE = np.dtype([("lang", np.uint32), ("by", np.float64)])
 
 
-def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: id, whether it was held out, tokens, known tokens, N, the base's and the model's log10 probability.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2 (a null id is learned from). Null text counts as
-    empty: one token, the end. Repeated rows count as often as they stand. The languages with most training
-    rows, LANGUAGES of them, have scores of their own; other labels and null share one more set. With
-    nothing to learn from, N is 0, the base is 0 and the model spells every word by the vocabulary's own order.
-    Other columns are not read.
+    empty: one token, the end. Repeated rows count as often as they stand. Every language label, and null as one more, has
+    counts of its own; only the list of labels, a row each, comes to the driver. With nothing to learn from,
+    N is 0, the base is 0 and the model spells every word. Every word has a finite score. Other columns are not read.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    pieces = tuple(load_pieces(model))
-    sent = spark.sparkContext.broadcast(pieces)  # bounded by the vocabulary file
+    scores = tuple(load_pieces(model).items())
+    sent = spark.sparkContext.broadcast(scores)  # bounded by the vocabulary file
     out = held_out(id_col)
-    labels = docs.where(~out).groupBy(F.col(lang_col).cast("string").alias("l")).count()
-    top = labels.where("l is not null").orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    n_train = labels.agg(F.sum("count")).first()[0] or 0
-    share = [r["count"] for r in top]
-    langs = [r.l for r in top] + [None] * (n_train > sum(share) or not top)
-    share += [n_train - sum(share)] * (len(langs) > len(top))
-    k = len(langs)
-    counters = [f"n{i}" for i in range(k)]
+    labels = docs.where(~out).groupBy(F.col(lang_col).cast("string").alias("l")).count().orderBy(F.col("l").asc_nulls_last()).collect()
+    langs, share = [r.l for r in labels], np.array([r["count"] for r in labels], float)
 
     rows = docs.select(F.col(id_col).cast("long"), out, F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    blocks = common.materialize(rows.mapInArrow(_to_blocks(block_bytes, langs), _block_schema(k)), "lm-blocks")
-    words = blocks.where("word is not null").select("block", "idx", "word", *counters)
-    counts = common.materialize(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in counters)), "lm-counts")
+    blocks = common.materialize(rows.mapInArrow(_to_blocks(block_bytes, langs), _BLOCK), "lm-blocks")
+    words = blocks.where("word is not null")
+    each = words.select("word", F.explode_outer("counts").alias("x")).groupBy("word", F.col("x.lang").alias("lang")).agg(F.sum("x.n").alias("n"))
+    each = each.groupBy("word").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("c"), F.collect_list(F.when(F.col("n") > 0, F.struct("lang", "n"))).alias("counts"))
+    counts = common.materialize(each, "lm-counts")
 
-    c_all = sum((F.col(c) for c in counters[1:]), F.col("n0"))
-    facts = counts.agg(F.sum(c_all).alias("n"), F.count_if(c_all > 0).alias("v"), *(x for c in counters for x in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_v"), F.count_if(F.col(c) == 1).alias(f"{c}_1"), F.count_if(F.col(c) == 2).alias(f"{c}_2")))).first()
+    facts = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = facts.n or 0, facts.v
-    size = np.array([facts[f"{c}_n"] or 0 for c in counters], float)
-    discount = np.array([min(0.95, max(0.05, facts[f"{c}_1"] / (facts[f"{c}_1"] + 2 * facts[f"{c}_2"]))) if facts[f"{c}_1"] else 0.5 for c in counters])
-    kinds = np.array([facts[f"{c}_v"] for c in counters], float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        prior = np.log10(np.array(share) / n_train) if n_train else np.zeros(k)
-        free = np.where(size > 0, np.log(discount * kinds / size), 0.0)
-
-    lat = lattice(pieces)
-    logp = np.repeat(lat.prior()[:, None], k, 1)
-    seen = counts.where(f"word != '{END}'").select("word", *(F.col(c) > 0 for c in counters))
-    for _ in range(rounds if n else 0):
-        now = spark.sparkContext.broadcast(logp)
-
-        def expect(batches, now=now):
-            lat, sums = lattice(sent.value), np.zeros((k, len(pieces) + 257))
-            for b in batches:
-                some = b.column(0).to_pylist()
-                for i in range(k):
-                    own = [w for w, x in zip(some, b.column(1 + i).to_pylist(), strict=True) if x]
-                    for _, part in lat.batches(own):
-                        lat.forward(part, now.value[:, i : i + 1], sums[i])
-            i, at = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[i, at], pa.float64())], names=["of", "piece", "uses"])
-
-        # A row for each piece and language.
-        got = seen.mapInArrow(expect, "of int, piece int, uses double").groupBy("of", "piece").agg(F.sum("uses").alias("uses")).collect()
-        weight = np.zeros((lat.n, k))
-        for r in got:
-            weight[r.piece, r.of] = r.uses
-        logp = np.stack([lat.normalize(weight[:, i], 0.01) for i in range(k)], 1)
-
-    fitted = spark.sparkContext.broadcast(logp)
-
-    def arcs(batches):
+    size, kinds, discount = (np.zeros(max(1, len(langs))) for _ in range(3))
+    for r in counts.select(F.explode("counts").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("x.n") == 1).alias("one"), F.count_if(F.col("x.n") == 2).alias("two")).collect():
+        size[r.lang], kinds[r.lang] = r.n, r.v
+        discount[r.lang] = min(0.95, max(0.05, r.one / (r.one + 2 * r.two))) if r.one else 0.5
+    prior = np.log10(share / share.sum()) if n else np.zeros(1)
+    free = np.log10(discount * kinds / size) if n else np.zeros(1)
+
+    def value(batches):
         lat = lattice(sent.value)
         for b in batches:
             some = b.column(0).to_pylist()
-            c = np.stack([x.to_numpy(zero_copy_only=False) for x in b.columns[1:]], 1)
-            spelled = np.full((len(some), k), -np.inf)
+            spelled, end = np.zeros(len(some)), np.array([w == END for w in some], bool)
             for at, part in lat.batches(some):
-                spelled[at] = lat.forward(part, fitted.value)
-            spelled[[w == END for w in some]] = -np.inf if n else 0.0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                whole = np.where(size > 0, np.log(np.maximum(c - discount, 0) / size), -np.inf)
-            value = np.logaddexp(whole, free + spelled) / math.log(10)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.sum(1), pa.int64()), *(pa.array(np.ascontiguousarray(value[:, i]), pa.float32()) for i in range(k))], names=["word", "c", *(f"v{i}" for i in range(k))])
-
-    values = [f"v{i}" for i in range(k)]
-    valued = counts.mapInArrow(arcs, "word string, c long" + "".join(f", {x} float" for x in values))
-    known = words.select("block", "idx", "word").join(valued, "word").select("block", "idx", "c", *values)
+                spelled[at] = lat.forward(part) / math.log(10)
+            # The end of a document is not spelled; the training rows of every language hold it.
+            spelled[end] = 0.0
+            found = b.column(2)
+            ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+            lang, times = (x.to_numpy() for x in found.flatten().flatten())
+            of = np.repeat(np.arange(len(some)), np.diff(ends))
+            more = np.empty(len(lang), _MORE)
+            more["lang"] = lang
+            rest = np.where(end[of], -np.inf, free[lang] + spelled[of])
+            more["by"] = np.logaddexp(np.log((times - discount[lang]) / size[lang]), rest * math.log(10)) / math.log(10) - free[lang] - spelled[of]
+            raw, width = more.tobytes(), _MORE.itemsize
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spelled), pa.array([raw[i * width : j * width] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], names=["word", "c", "spelled", "more"])
+
+    valued = counts.mapInArrow(value, "word string, c long, spelled double, more binary")
+    known = words.select("block", "idx", "word").join(valued, "word").select("block", "idx", "c", "spelled", "more")
     texts = blocks.where("word is null").select(F.col("block").alias("of"), "doc_id", "held_out", "n_tokens", "ids", "ns")
 
     def total_up(docs: pa.Table, words: pa.Table) -> pa.Table:
-        at = words["idx"].to_numpy()
-        c, value = np.zeros(len(at), np.int64), np.zeros((len(at), k))
-        c[at] = words["c"].to_numpy()
-        for i, x in enumerate(values):
-            value[at, i] = words[x].to_numpy()
+        words = words.sort_by("idx")
+        c, spelled = words["c"].to_numpy(), words["spelled"].to_numpy()
+        raw = words["more"].to_pylist()
+        starts = np.cumsum([0, *(len(x) // _MORE.itemsize for x in raw)])
+        more = np.frombuffer(b"".join(raw), _MORE)
         base, is_known = np.log10((c + 1) / (n + v + 1)), c > 0
         out = []
-        for packed, times in zip(docs["ids"].to_pylist(), docs["ns"].to_pylist(), strict=True):
+        for tokens, packed, times in zip(*(docs[x].to_pylist() for x in ("n_tokens", "ids", "ns")), strict=True):
             ids, ns = np.cumsum(_unpack(packed)), _unpack(times)
-            each = prior + ns @ value[ids]
+            held = starts[ids + 1] - starts[ids]
+            at = np.repeat(starts[ids] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            each = prior + tokens * free + ns @ spelled[ids] + np.bincount(more["lang"][at], np.repeat(ns, held) * more["by"][at], len(free))
             best = each.max()
-            # A word that no language can spell gives -inf.
-            out.append((int(ns[is_known[ids]].sum()), float(ns @ base[ids]), float(best + np.log10((10 ** (each - best)).sum())) if best > -np.inf else -math.inf))
+            out.append((int(ns[is_known[ids]].sum()), float(ns @ base[ids]), float(best + np.log10((10 ** (each - best)).sum()))))
         n_known, b, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(n_known, pa.int64()), pa.array([n] * len(b), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], names=[f.split()[0] for f in SCORED.split(", ")])
 

@@ -169,26 +169,84 @@ def test_presence_is_a_set_of_ngrams():
 # Lattice likelihood.
 
 
-def test_forward_sums_over_all_segmentations():
-    lat = lm_score.lattice(tuple(load_pieces(PIECES)))
-    logp = lat.prior()[:, None]
-    score = dict(zip(lat.pieces, logp[:, 0]))
+SCORES = tuple(load_pieces(PIECES).items())
+
+
+def weights():
+    """Log probabilities of pieces, of bytes and of a word's end, from the vocabulary's own order."""
+    w = {p: 1 / (50 - s) for p, s in SCORES}
+    begin = sum(x for p, x in w.items() if p[0] == SPACE)
+    rest = sum(x for p, x in w.items() if p[0] != SPACE) + 256e-6 + 1
+    return {p: x / (begin if p[0] == SPACE else rest) for p, x in w.items()}, 1e-6 / rest, 1 / rest
+
 
-    def slow(s):
+def slow_spelling(word, model=None):
+    """Sum over all segmentations, by recursion."""
+    score, byte, stop = model or weights()
+
+    def go(s):
         if not s:
-            return math.exp(logp[lat.stop, 0])
-        p = sum(math.exp(score[s[:k]]) * slow(s[k:]) for k in range(1, min(16, len(s)) + 1) if s[:k] in score)
-        if not any(s[0] in x for x in lat.pieces):
-            p += math.exp(sum(logp[lat.n - 257 + b, 0] for b in s[0].encode())) * slow(s[1:])
-        return p
+            return stop
+        p = sum(score[s[:k]] * go(s[k:]) for k in range(1, len(s) + 1) if s[:k] in score)
+        return p if s[0] in score else p + byte ** len(s[0].encode()) * go(s[1:])
+
+    return go(SPACE + word)
 
-    for w in ("the", "house", "xyzzy", "née", "q☃z"):
-        assert math.isclose(lat.forward([w], logp)[0, 0], math.log(slow(SPACE + w)), abs_tol=1e-9)
+
+def test_forward_sums_over_all_segmentations():
+    lat = lm_score.lattice(SCORES)
+    for w in ("the", "house", "xyzzy", "née", "q☃z", "\x00"):
+        assert math.isclose(lat.forward([w])[0], math.log(slow_spelling(w)), abs_tol=1e-9)
+    same = [lat.forward([w])[0] for w in ("houses", "x☃yzzy")]
+    assert np.allclose(lat.forward(["houses", "x☃yzzy"]), same)
+
+
+def test_scores_of_log_weights():
+    lat = lm_score.Lattice({SPACE: -1.0, "a": -2.0, SPACE + "a": -3.0, "aa": -4.0}, offset=None)
+    e, rest = math.exp, math.exp(-2) + math.exp(-4) + 256e-6 + 1
+    begin = e(-1) + e(-3)
+    p = (e(-1) / begin * (e(-4) / rest + (e(-2) / rest) ** 2) + e(-3) / begin * e(-2) / rest) / rest
+    assert math.isclose(lat.forward(["aa"])[0], math.log(p), abs_tol=1e-12)
+
+
+def slow_scores(rows):
+    """{row's place: score} by the definition, without logs of sums or blocks."""
+    tokens = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None]
+    train = [r for r in rows if not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2)]
+    langs = {r[2] for r in train}
+    count = {x: Counter(w for r in train if r[2] == x for w in tokens(r[1])) for x in langs}
+    model, memo, out = weights(), {}, []
+
+    def word(w, x):
+        c, size = count[x], sum(count[x].values())
+        one, two = (sum(y == k for y in c.values()) for k in (1, 2))
+        d = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+        if w not in memo:
+            memo[w] = 0 if w is None else slow_spelling(w, model)
+        return max(c[w] - d, 0) / size + d * len(c) / size * memo[w]
+
+    for r in rows:
+        if not langs:
+            out.append(sum(math.log10(slow_spelling(w, model)) for w in tokens(r[1]) if w))
+            continue
+        each = [math.log10(sum(y[2] == x for y in train) / len(train)) + sum(math.log10(word(w, x)) for w in tokens(r[1])) for x in langs]
+        out.append(max(each) + math.log10(sum(10 ** (e - max(each)) for e in each)))
+    return out
+
+
+def test_scores_of_documents_against_the_definition(docs):
+    rng = np.random.default_rng(3)
+    words = "the cat Cat sat née on a mat ☃ der hut saß zu tun 12, x.".split()
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 12))), [None, "en", "de", "fr"][i % 4], "s") for i in range(40)]
+    rows += [(None, "der hut", "en", "s"), (7, "unseen", "it", "s"), (7, "unseen", "it", "s"), (90, None, None, None), (91, "", "en", "s")]
+    for some in (rows, [(9, "a b", "en", "s"), (9, None, None, "s")], [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2]):
+        got = lm_score.score(docs(some, extra=True), PIECES, block_bytes=500).collect()
+        assert np.allclose(sorted(r.score for r in got), sorted(slow_scores(some)), rtol=1e-9, atol=1e-9)
 
 
 def test_base_and_counts(docs):
     rows = [*ODD, *((i, f"the cat number {i} Sat") for i in range(20, 50))]
-    got = lm_score.score(docs(rows, extra=True), PIECES, rounds=1, block_bytes=2000).collect()
+    got = lm_score.score(docs(rows, extra=True), PIECES, block_bytes=2000).collect()
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [" "]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t in rows if not out(i) for w in tokens(t))
@@ -212,10 +270,9 @@ def test_long_words_cost_what_they_cost(docs):
     a, b = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n)) for n in (4000, 8000))
     first, second = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     rows = [(first, a), (second, b), *((1000 + i, f"the cat number {i} sat") for i in range(40))]
-    got = {r.doc_id: r.score for r in lm_score.score(docs(rows), PIECES, rounds=0).collect()}
-    lat = lm_score.lattice(tuple(load_pieces(PIECES)))
-    short, long = (lat.forward([w], lat.prior()[:, None])[0, 0] / math.log(10) for w in (a, b))
-    assert short < -4400 and math.isclose(got[second] - got[first], long - short, rel_tol=1e-5)
+    got = {r.doc_id: r.score for r in lm_score.score(docs(rows), PIECES).collect()}
+    short, long = (lm_score.lattice(SCORES).forward([w])[0] / math.log(10) for w in (a, b))
+    assert short < -4400 and math.isclose(got[second] - got[first], long - short, rel_tol=1e-9)
 
 
 def test_scores_of_empty_tables(docs):
