@@ -1,14 +1,16 @@
 """Language-model scores: the likelihood of a text over a subword lattice.
 
 A word's lattice holds every way to cut it into pieces of an existing vocabulary (single bytes where a letter is no
-piece), and the vocabulary's own scores weight the cuts: their sum over all paths, by a forward
-recursion in log space, is the probability of spelling the word. The training rows add an arc for each whole word that
+piece), and scores of the pieces weight the cuts: their sum over all paths, by a forward recursion in log
+space, is the probability of spelling the word. The vocabulary's own scores alone give `lattice_score`. They are places in
+an order, not probabilities, so `score` goes on from them: each round takes every piece's expected uses over
+all cuts of all distinct training words as its new weight. The training rows also add an arc for each whole word that
 they hold, weighted by its discounted count; the mass that discounts free goes to the spelled paths. So a word's
 marginal is over the whole-word arc and all segmentations, and a document's is the product over its words and its
 end, since all paths meet between words. Counts are kept for each language label of the training rows, and a
 text's probability sums over the labels (its own is not looked at).
 
-Spelling does not depend on the language, so each distinct word of the corpus passes the recursion once. Counts are exact and
+Spelling does not depend on the language, so each distinct word of the corpus passes each recursion once. Counts are exact and
 cover all training rows. Documents are read once into blocks: a block holds its distinct words and, for each
 document, their numbers. Words meet the counts by an equi-join with one row per block and word, so a word
 in every document is a row per block.
@@ -32,6 +34,8 @@ from .token_counts import SPACE, load_pieces
 BLOCK_BYTES = 24 << 20
 #: The vocabulary's scores are places in its order, 0, -1, ...: a piece weighs 1 / (OFFSET - score).
 OFFSET = 50.0
+#: Rounds of re-estimation, and what a piece's expected uses are raised by.
+ROUNDS, LEAST = 2, 0.01
 #: Weight of each byte, and of the end of a word, beside the pieces that do not begin a word.
 BYTE, STOP = 1e-6, 1.0
 #: The end of a document as a token: no word holds a blank.
@@ -50,9 +54,8 @@ class Lattice:
         self.pieces = list(scores)
         score = np.array([scores[p] for p in self.pieces])
         weight = np.concatenate([np.exp(score) if offset is None else 1 / (offset - score), np.full(256, BYTE), [STOP]])
-        starts = np.array([p.startswith(SPACE) for p in self.pieces] + [False] * 257)
-        self.logp = np.log(weight / np.where(starts, weight[starts].sum(), weight[~starts].sum()))
-        self.stop, self.bytes = self.logp[-1], self.logp[-257:-1]
+        self.starts = np.array([p.startswith(SPACE) for p in self.pieces] + [False] * 257)
+        self.given = self.normalize(weight)
         self.longest = max(map(len, self.pieces))
         codes = sorted({c for p in self.pieces for c in p})
         self.code = np.zeros(0x110000, np.uint64)
@@ -81,6 +84,10 @@ class Lattice:
                 at = (at + 1) & self.mask
             self.keys[at], self.ids[at] = h, number[p]
 
+    def normalize(self, weight: np.ndarray) -> np.ndarray:
+        """log scores of pieces, 256 bytes and a word's end."""
+        return np.log(weight / np.where(self.starts, weight[self.starts].sum(), weight[~self.starts].sum()))
+
     @staticmethod
     def _add(h, code):
         with np.errstate(over="ignore"):
@@ -100,30 +107,62 @@ class Lattice:
             left, at = left[on], at[on]
         return out
 
-    def forward(self, words: list[str]) -> np.ndarray:
-        """Natural-log probabilities of words of one length, each with its end."""
+    def _letters(self, words: list[str]):
         x = np.array([np.frombuffer((SPACE + w).encode("utf-32-le", "surrogatepass"), np.uint32) for w in words]).T
-        code, spelled = self.code[x], self.spelled[x]
-        n, all_rows = len(x), np.arange(len(words))
-        at = np.full((n + 1, len(words)), -np.inf)
+        return x, self.code[x], self.spelled[x]
+
+    def _arcs(self, i: int, letters):
+        """(end, words, pieces) of the arcs that begin at i, for the words that have one; and (word, its bytes) of those by bytes."""
+        x, code, spelled = letters
+        rows, h = np.arange(x.shape[1]), np.zeros(x.shape[1], np.uint64)
+        for j in range(i, min(len(x), i + self.longest)):
+            h = self._add(h, code[j, rows])
+            ids = self.find(h)
+            hit = ids >= 0
+            if hit.any():
+                yield j + 1, rows[hit], ids[hit]
+            on = ids != _EMPTY
+            rows, h = rows[on], h[on]
+            if not len(rows):
+                break
+        for k in np.flatnonzero(spelled[i]):
+            yield i + 1, k, len(self.pieces) + np.frombuffer(chr(x[i, k]).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+
+    def _forward(self, letters, logp: np.ndarray) -> np.ndarray:
+        at = np.full((len(letters[0]) + 1, letters[0].shape[1]), -np.inf)
         at[0] = 0
-        for i in range(n):
-            rows, h = all_rows, np.zeros(len(words), np.uint64)
-            for j in range(i, min(n, i + self.longest)):
-                h = self._add(h, code[j, rows])
-                ids = self.find(h)
-                hit = ids >= 0
-                if hit.any():
-                    to = rows[hit]
-                    at[j + 1, to] = np.logaddexp(at[j + 1, to], at[i, to] + self.logp[ids[hit]])
-                on = ids != _EMPTY
-                rows, h = rows[on], h[on]
-                if not len(rows):
-                    break
-            for k in np.flatnonzero(spelled[i]):
-                cost = self.bytes[list(chr(x[i, k]).encode("utf-8", "surrogatepass"))].sum()
-                at[i + 1, k] = np.logaddexp(at[i + 1, k], at[i, k] + cost)
-        return at[n] + self.stop
+        for i in range(len(at) - 1):
+            for j, rows, ids in self._arcs(i, letters):
+                cost = logp[ids] if isinstance(rows, np.ndarray) else logp[ids].sum()
+                at[j, rows] = np.logaddexp(at[j, rows], at[i, rows] + cost)
+        return at
+
+    def forward(self, words: list[str], logp: np.ndarray | None = None) -> np.ndarray:
+        """Natural-log probabilities of words of one length, each with its end, under given scores or the vocabulary's own."""
+        logp = self.given if logp is None else logp
+        return self._forward(self._letters(words), logp)[-1] + logp[-1]
+
+    def expect(self, words: list[str], logp: np.ndarray) -> np.ndarray:
+        """Expected uses of pieces, bytes and the end over all cuts of words of one length: forward, then backward."""
+        letters, uses = self._letters(words), np.zeros(len(logp))
+        at = self._forward(letters, logp)
+        back = np.full(at.shape, -np.inf)
+        back[-1] = logp[-1]
+        total = at[-1] + logp[-1]
+        of, by, held = [], [], 0
+        for i in range(len(at) - 2, -1, -1):
+            for j, rows, ids in self._arcs(i, letters):
+                cost = logp[ids] if isinstance(rows, np.ndarray) else logp[ids].sum()
+                after = cost + back[j, rows]
+                back[i, rows] = np.logaddexp(back[i, rows], after)
+                of.append(ids)
+                by.append(np.broadcast_to(np.exp(at[i, rows] + after - total[rows]), ids.shape))
+                held += len(ids)
+            if held > 1 << 20 or not i:
+                uses += np.bincount(np.concatenate(of), np.concatenate(by), len(logp)) if of else 0
+                of, by, held = [], [], 0
+        uses[-1] += len(words)
+        return uses
 
     def batches(self, words: list[str]):
         """(positions, words of one length) in pieces of bounded size."""
@@ -213,13 +252,14 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 #: What a language adds to the spelled log10 probability of a word that its training rows hold.
 _MORE = np.dtype([("lang", np.uint32), ("by", np.float64)])
 
 
-def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: id, whether it was held out, tokens, known tokens, N, the base's and the model's log10 probability.
+def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs: id, whether it was held out, tokens, known tokens, N, the base's and the model's log10 probability,
+    and the lattice's under the vocabulary's own scores alone (nothing learned; the end of the document costs nothing there).
 
     Learns from rows whose crc32(id as text) mod 7 is not 2 (a null id is learned from). Null text counts as
     empty: one token, the end. Repeated rows count as often as they stand. Every language label, and null as one more, has
@@ -250,15 +290,37 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
     prior = np.log10(share / share.sum()) if n else np.zeros(1)
     free = np.log10(discount * kinds / size) if n else np.zeros(1)
 
+    lat = lattice(scores)
+    logp = lat.given
+    for _ in range(rounds if n else 0):
+        now = spark.sparkContext.broadcast(logp)
+
+        def expect(batches, now=now):
+            lat, uses = lattice(sent.value), np.zeros(len(scores) + 257)
+            for b in batches:
+                for _, part in lat.batches(b.column(0).to_pylist()):
+                    uses += lat.expect(part, now.value)
+            at = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(uses[at])], names=["piece", "uses"])
+
+        # A row for each piece comes to the driver.
+        got = counts.where(f"c > 0 and word != '{END}'").select("word").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        weight = np.full(len(logp), LEAST)
+        for r in got:
+            weight[r.piece] += r.uses
+        logp = lat.normalize(weight)
+    fitted = spark.sparkContext.broadcast(logp)
+
     def value(batches):
         lat = lattice(sent.value)
         for b in batches:
             some = b.column(0).to_pylist()
-            spelled, end = np.zeros(len(some)), np.array([w == END for w in some], bool)
+            spelled, given, end = np.zeros(len(some)), np.zeros(len(some)), np.array([w == END for w in some], bool)
             for at, part in lat.batches(some):
-                spelled[at] = lat.forward(part) / math.log(10)
+                given[at] = lat.forward(part) / math.log(10)
+                spelled[at] = lat.forward(part, fitted.value) / math.log(10)
             # The end of a document is not spelled; the training rows of every language hold it.
-            spelled[end] = 0.0
+            spelled[end] = given[end] = 0.0
             found = b.column(2)
             ends = found.offsets.to_numpy() - found.offsets[0].as_py()
             lang, times = (x.to_numpy() for x in found.flatten().flatten())
@@ -268,15 +330,15 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
             rest = np.where(end[of], -np.inf, free[lang] + spelled[of])
             more["by"] = np.logaddexp(np.log((times - discount[lang]) / size[lang]), rest * math.log(10)) / math.log(10) - free[lang] - spelled[of]
             raw, width = more.tobytes(), _MORE.itemsize
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spelled), pa.array([raw[i * width : j * width] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], names=["word", "c", "spelled", "more"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spelled), pa.array(given), pa.array([raw[i * width : j * width] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], names=["word", "c", "spelled", "given", "more"])
 
-    valued = counts.mapInArrow(value, "word string, c long, spelled double, more binary")
-    known = words.select("block", "idx", "word").join(valued, "word").select("block", "idx", "c", "spelled", "more")
+    valued = counts.mapInArrow(value, "word string, c long, spelled double, given double, more binary")
+    known = words.select("block", "idx", "word").join(valued, "word").select("block", "idx", "c", "spelled", "given", "more")
     texts = blocks.where("word is null").select(F.col("block").alias("of"), "doc_id", "held_out", "n_tokens", "ids", "ns")
 
     def total_up(docs: pa.Table, words: pa.Table) -> pa.Table:
         words = words.sort_by("idx")
-        c, spelled = words["c"].to_numpy(), words["spelled"].to_numpy()
+        c, spelled, given = (words[x].to_numpy() for x in ("c", "spelled", "given"))
         raw = words["more"].to_pylist()
         starts = np.cumsum([0, *(len(x) // _MORE.itemsize for x in raw)])
         more = np.frombuffer(b"".join(raw), _MORE)
@@ -288,8 +350,8 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
             at = np.repeat(starts[ids] - np.cumsum(held) + held, held) + np.arange(held.sum())
             each = prior + tokens * free + ns @ spelled[ids] + np.bincount(more["lang"][at], np.repeat(ns, held) * more["by"][at], len(free))
             best = each.max()
-            out.append((int(ns[is_known[ids]].sum()), float(ns @ base[ids]), float(best + np.log10((10 ** (each - best)).sum()))))
-        n_known, b, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(n_known, pa.int64()), pa.array([n] * len(b), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], names=[f.split()[0] for f in SCORED.split(", ")])
+            out.append((int(ns[is_known[ids]].sum()), float(ns @ base[ids]), float(best + np.log10((10 ** (each - best)).sum())), float(ns @ given[ids])))
+        n_known, b, s, g = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table([docs["doc_id"], docs["held_out"], docs["n_tokens"], pa.array(n_known, pa.int64()), pa.array([n] * len(b), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64()), pa.array(g, pa.float64())], names=[f.split()[0] for f in SCORED.split(", ")])
 
     return texts.groupBy("of").cogroup(known.groupBy("block")).applyInArrow(total_up, SCORED)

@@ -209,8 +209,32 @@ def test_scores_of_log_weights():
     assert math.isclose(lat.forward(["aa"])[0], math.log(p), abs_tol=1e-12)
 
 
+def test_expected_uses_against_all_cuts():
+    lat, uses = lm_score.lattice(SCORES), Counter()
+    score, byte, stop = weights()
+
+    def cuts(s):
+        if not s:
+            yield [], stop
+        for k in range(1, len(s) + 1):
+            if s[:k] in score:
+                yield from (([s[:k], *rest], score[s[:k]] * p) for rest, p in cuts(s[k:]))
+        if s and s[0] not in score:
+            yield from (([*s[0].encode(), *rest], byte ** len(s[0].encode()) * p) for rest, p in cuts(s[1:]))
+
+    words = ["houses", "x☃yzzy", "thethe"]
+    for w in words:
+        found = list(cuts(SPACE + w))
+        for pieces, p in found:
+            for x in pieces:
+                uses[x] += p / sum(p for _, p in found)
+    got = lat.expect(words, lat.given)
+    want = np.array([uses[p] for p in lat.pieces] + [uses[b] for b in range(256)] + [3])
+    assert np.allclose(got, want)
+
+
 def slow_scores(rows):
-    """{row's place: score} by the definition, without logs of sums or blocks."""
+    """{row's place: score} by the definition, without logs of sums or blocks, before any re-estimation."""
     tokens = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None]
     train = [r for r in rows if not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2)]
     langs = {r[2] for r in train}
@@ -240,7 +264,9 @@ def test_scores_of_documents_against_the_definition(docs):
     rows = [(i, " ".join(rng.choice(words, rng.integers(0, 12))), [None, "en", "de", "fr"][i % 4], "s") for i in range(40)]
     rows += [(None, "der hut", "en", "s"), (7, "unseen", "it", "s"), (7, "unseen", "it", "s"), (90, None, None, None), (91, "", "en", "s")]
     for some in (rows, [(9, "a b", "en", "s"), (9, None, None, "s")], [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2]):
-        got = lm_score.score(docs(some, extra=True), PIECES, block_bytes=500).collect()
+        got = lm_score.score(docs(some, extra=True), PIECES, rounds=0, block_bytes=500).collect()
+        lattice = [sum(math.log10(slow_spelling(w)) for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())) for _, t, _, _ in some]
+        assert np.allclose(sorted(r.lattice_score for r in got), sorted(lattice))
         assert np.allclose(sorted(r.score for r in got), sorted(slow_scores(some)), rtol=1e-9, atol=1e-9)
 
 
@@ -270,7 +296,7 @@ def test_long_words_cost_what_they_cost(docs):
     a, b = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n)) for n in (4000, 8000))
     first, second = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     rows = [(first, a), (second, b), *((1000 + i, f"the cat number {i} sat") for i in range(40))]
-    got = {r.doc_id: r.score for r in lm_score.score(docs(rows), PIECES).collect()}
+    got = {r.doc_id: r.score for r in lm_score.score(docs(rows), PIECES, rounds=0).collect()}
     short, long = (lm_score.lattice(SCORES).forward([w])[0] / math.log(10) for w in (a, b))
     assert short < -4400 and math.isclose(got[second] - got[first], long - short, rel_tol=1e-9)
 
