@@ -34,6 +34,8 @@ from .token_counts import SPACE, load_pieces
 BLOCK_BYTES = 24 << 20
 #: The vocabulary's scores are places in its order, 0, -1, ...: a piece weighs 1 / (OFFSET - score).
 OFFSET = 50.0
+#: Distinct words that pass the recursion together.
+TOGETHER = 100_000
 #: Rounds of re-estimation, and what a piece's expected uses are raised by.
 ROUNDS, LEAST = 2, 0.01
 #: Weight of each byte, and of the end of a word, beside the pieces that do not begin a word.
@@ -248,6 +250,19 @@ def _to_blocks(block_bytes: int, langs: list):
     return run
 
 
+def _larger(batches):
+    """Batches put together until they hold TOGETHER rows: words of one length are then many enough to pass the recursion at once."""
+    some, rows = [], 0
+    for b in batches:
+        some.append(b)
+        rows += b.num_rows
+        if rows >= TOGETHER:
+            yield pa.concat_batches(some)
+            some, rows = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
@@ -297,7 +312,7 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
 
         def expect(batches, now=now):
             lat, uses = lattice(sent.value), np.zeros(len(scores) + 257)
-            for b in batches:
+            for b in _larger(batches):
                 for _, part in lat.batches(b.column(0).to_pylist()):
                     uses += lat.expect(part, now.value)
             at = np.flatnonzero(uses)
@@ -313,7 +328,7 @@ def score(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
 
     def value(batches):
         lat = lattice(sent.value)
-        for b in batches:
+        for b in _larger(batches):
             some = b.column(0).to_pylist()
             spelled, given, end = np.zeros(len(some)), np.zeros(len(some)), np.array([w == END for w in some], bool)
             for at, part in lat.batches(some):
