@@ -54,6 +54,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """materialize(), in as many buckets of `key` as the session shuffles to: joins on it do not move the table again."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes what materialize() has written in this application."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

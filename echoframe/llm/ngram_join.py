@@ -34,6 +34,8 @@ WORDS, PERCENT, PIVOT_ROUNDS = 5, 80, 3
 BLOCK_BYTES = 24 << 20
 #: Bits of a shingle's hash that are kept.
 BITS = 50
+#: Tasks over which the postings of one shingle are dealt.
+SALTS = 8
 MEMO = 200_000
 
 
@@ -246,13 +248,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(rows: DataFrame, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """(node, component_id) from the rows of shingle_sets(), materialized by the caller."""
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    sets = common.materialize(rows.where("first > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("first").alias("first"), F.any_value("shared").alias("shared"), F.any_value("sig").alias("sig")), "join-sets")
+    sets = common.materialize_bucketed(rows.where("first > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("first").alias("first"), F.any_value("shared").alias("shared"), F.any_value("sig").alias("sig")), "join-sets", "node")
     prefix = F.slice("shared", 1, F.col("first"))
-    group = F.concat(*(F.hex(F.xxhash64(F.lit(i), "n", F.size("shared"), prefix)) for i in (1, 2)))
+    group = F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), "n", F.size("shared"), prefix)), 16, "0") for i in (1, 2))))
     # `s` counts a node's shared shingles; groups also agree in it.
     grouped = sets.select("node", "n", F.size("shared").alias("s"), group.alias("gid"), prefix.alias("prefix"), "sig")
     members = common.materialize(grouped.select("node", "n", "s", "gid", "sig"), "join-members")
-    postings = common.materialize(grouped.groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("s").alias("s"), F.any_value("prefix").alias("prefix")).select("gid", "n", "s", F.posexplode("prefix").alias("at", "tok")), "join-postings")
+    groups = common.materialize(grouped.groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("s").alias("s"), F.any_value("prefix").alias("prefix")), "join-groups")
+    postings = groups.select("gid", "n", "s", F.posexplode("prefix").alias("at", "tok"))
     labels = members.select("node", F.col("node").alias("comp"))
     tested = None
 
@@ -276,19 +279,28 @@ def components(rows: DataFrame, percent: int = PERCENT, pivot_rounds: int = PIVO
         labels = connect(labels, found.where("linked").select("a", "b"))
 
     def split(placed):
-        """Prefix shingles over more than one component, with the range of components and a pivot."""
-        g = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("pick").alias("pick"))
-        at = postings.join(g, "gid").withColumn("pick", F.struct("pick.*", F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("at").alias("pat")))
-        return at.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("pick").alias("pick")).where("lo != hi")
+        """Prefix shingles over more than one component, with the least key among their nodes and that node's place of the
+        shingle. Groups meet their facts before shingles are listed, and only numbers travel by shingle."""
+        comp = F.xxhash64("comp")
+        g = placed.groupBy("gid").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi"), F.min("key").alias("key"))
+        at = groups.join(g, "gid").select("lo", "hi", "key", F.posexplode("prefix").alias("at", "tok"))
+        return at.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("key").alias("key"), F.min_by("at", "key").alias("pat")).where("lo != hi").drop("lo", "hi")
+
+    def by_shingle(some):
+        """Postings with the row of `some` for their shingle; a frequent shingle is dealt over SALTS tasks."""
+        salted = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return postings.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).join(salted, ["tok", "salt"]).drop("salt")
 
     for i in range(pivot_rounds):
         # A pivot shares much of itself; after the first round, with a random half of the nodes before the others.
         half = F.lit(0) if i == 0 else F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2))
-        placed = members.join(labels, "node")
-        placed = placed.withColumn("pick", F.struct(half.alias("h"), (-F.col("s") / F.col("n")).alias("d"), F.col("node").alias("a"), F.col("comp").alias("acomp"), F.col("sig").alias("asig")))
-        open_tokens = split(placed).select("tok", "pick.*")
-        met = postings.join(open_tokens, "tok").where(near(*map(F.col, ("n", "s", "at", "pn", "ps", "pat")))).select("gid", "a", "acomp", "asig", "pn", "ps").distinct()
-        pairs = met.join(placed.select("gid", "node", "comp", "n", "s", "sig"), "gid").where((F.col("comp") != F.col("acomp")) & close(*map(F.col, ("n", "s", "sig", "pn", "ps", "asig"))))
+        alone = F.floor((1 - F.col("s") / F.col("n")) * (1 << 14)).cast("long")
+        key = F.shiftleft(half.cast("long"), 62) + F.shiftleft(alone, 47) + F.shiftrightunsigned(F.xxhash64("node"), 17)
+        placed = members.join(labels, "node").withColumn("key", key)
+        pivots = placed.groupBy("key").agg(F.min(F.struct(F.col("node").alias("a"), F.col("comp").alias("acomp"), F.col("sig").alias("asig"), F.col("n").alias("pn"), F.col("s").alias("ps"))).alias("p")).select("key", "p.*")
+        open_tokens = split(placed).join(pivots.select("key", "pn", "ps"), "key")
+        met = by_shingle(open_tokens).where(near(*map(F.col, ("n", "s", "at", "pn", "ps", "pat")))).select("gid", "key").distinct()
+        pairs = met.join(placed.drop("key"), "gid").join(pivots, "key").where((F.col("comp") != F.col("acomp")) & close(*map(F.col, ("n", "s", "sig", "pn", "ps", "asig"))))
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = common.materialize(pairs, "join-pairs")
         if pairs.isEmpty():
@@ -296,9 +308,8 @@ def components(rows: DataFrame, percent: int = PERCENT, pivot_rounds: int = PIVO
         test(pairs)
     # All pairs of nodes over a prefix shingle that are not in one component by now. On one side stand the
     # nodes outside the shingle's largest component.
-    placed = members.join(labels, "node").withColumn("pick", F.struct(F.lit(0).alias("h")))
-    open_tokens = split(placed).select("tok")
-    there = common.materialize(postings.join(open_tokens, "tok").join(placed.select("gid", "node", "comp", "sig"), "gid").drop("gid"), "join-open")
+    placed = members.join(labels, "node").withColumn("key", F.lit(0).cast("long"))
+    there = common.materialize(by_shingle(split(placed).select("tok")).join(placed.select("gid", "node", "comp", "sig"), "gid").drop("gid"), "join-open")
     if not there.isEmpty():
         largest = there.groupBy("tok", "comp").count().groupBy("tok").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
         few = there.join(largest, "tok").where("comp != main").select("tok", *(F.col(c).alias(f"x{c}") for c in ("node", "comp", "n", "s", "at", "sig"))).withColumnRenamed("xnode", "x")
