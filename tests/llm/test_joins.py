@@ -376,3 +376,36 @@ def test_near_shifts():
         parts = substring_dedup.near_shifts(x)
         assert all(x[b - 1] - x[a] <= 2 * substring_dedup.BAND for a, b in parts)
         assert all(any(a <= i <= j < b for a, b in parts) for i in range(25) for j in range(i, 25) if x[j] - x[i] <= substring_dedup.BAND)
+
+
+def test_verify_at_agrees_with_all_shifts():
+    rng = np.random.default_rng(4)
+    quick = 0
+    for _ in range(400):
+        n = int(rng.integers(46, 300))
+        a = rng.integers(0, 1 << 16, n).astype(np.uint16)
+        b = a.copy()
+        for _ in range(int(rng.integers(0, 8))):  # five shingles differ where a word does
+            at = int(rng.integers(0, n))
+            b[at : at + 5] = rng.integers(0, 1 << 16, len(b[at : at + 5]))
+        if rng.random() < 0.3:
+            at = int(rng.integers(0, n))
+            b = np.concatenate((b[:at], rng.integers(0, 1 << 16, 6).astype(np.uint16), b[at + 1 :]))
+        left, right = (rng.integers(0, 1 << 16, int(rng.integers(0, 40))).astype(np.uint16) for _ in range(2))
+        b = np.concatenate((left, b, right))
+        shift = -len(left)
+        want = substring_dedup.verify_near(a, b, shift - 20, shift + 20)
+        got = substring_dedup.verify_at(a, b, shift, shift - 20, shift + 20)
+        if got is not None:
+            quick += 1
+            assert got == want
+    assert quick > 150
+
+
+def test_local_copies_leave_one_window_of_each_kind():
+    w = np.zeros(6, substring_dedup._WINDOW)
+    w["q"], w["at"], w["c"], w["l"], w["r"] = [8, 8, 8, 8, 8, 16], [0, 0, 1, 2, 3, 3], [50, 90, 60, 70, 50, 9], [20, 60, 30, 40, 21, 0], [80, 120, 90, 100, 80, 60]
+    w["s"][3] = 7
+    copies, first = substring_dedup.local_copies(w)
+    # The second window of document 0 stays, as do other tags, other extents and other groups.
+    assert copies.tolist() == [2] and first.tolist() == [0]
