@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
             self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
