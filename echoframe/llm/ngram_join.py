@@ -37,23 +37,14 @@ BLOCK_BYTES = 24 << 20
 BITS = 50
 #: Tasks over which the postings of one shingle are dealt.
 SALTS = 8
-MEMO = 200_000
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_sequence(text: str | None, memo: WordHash, words: int = WORDS) -> np.ndarray:
+def shingle_sequence(text: str | None, words: int = WORDS) -> np.ndarray:
     """Hashes of a text's shingles in order: of the whole sequence if it has fewer words, none if it has none."""
     found = (text or "").encode().lower().split()  # of bytes: lowers A-Z and splits at ASCII white space only
     if not found:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     k = min(words, len(w))
     h = np.zeros(len(w) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -65,9 +56,9 @@ def shingle_sequence(text: str | None, memo: WordHash, words: int = WORDS) -> np
     return h >> np.uint64(64 - BITS)
 
 
-def shingles(text: str | None, memo: WordHash, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    return np.unique(shingle_sequence(text, memo, words))
+    return np.unique(shingle_sequence(text, words))
 
 
 def needed(n, percent: int = PERCENT):
@@ -109,11 +100,10 @@ def _spread(buckets: int, block_bytes: int):
 
     def run(batches):
         block, ids, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
-        memo = WordHash()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
-                sets.append(shingles(text, memo))
+                sets.append(shingles(text))
                 size += len(text or "") + 200
                 if size > block_bytes:
                     yield from flush(block, ids, sets)
