@@ -9,9 +9,11 @@ states are shared, so transitions are computed once per process.
 
 A text is cut into chunks where no piece reaches across; there every state map is constant
 (whatever the state before, the transducer starts anew), is found once per distinct chunk, and
-maps compose associatively: `scan` combines them in a tree. A chunk longer than `BLOCK`
-characters with no such place is cut anywhere, and the maps of its blocks are
-composed from the states that reach them.
+maps compose associatively. A chunk longer than `BLOCK` characters with no such place is cut anywhere: each
+block gets its map from the states that can enter it, {entry: (exit, emitted)}, without
+waiting for the blocks before it, and an inclusive scan by doubling composes the maps. States that can enter are those in which
+runs from the start, begun at any of the `WARM` places before the block, arrive; they nearly always agree. An
+entry that none of them foresaw is run when the scan meets it, so counts are exact.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from . import common
 BLOCK = 4096
 #: Distinct chunks that a process remembers.
 MEMO = 500_000
-#: Transducer states that a process holds, about 1 kB each.
-STATES = 250_000
+#: Transducer states that a process holds, about 1 kB each; places before a block from which it may be entered.
+STATES, WARM = 100_000, 24
 SPACE = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -142,16 +144,19 @@ class Transducer:
         else:
             raise AssertionError("no piece ends here")
         after = tuple((s + char, t, b - emitted) for s, t, b in chain if s + char in self.prefixes) + (("", token, 0),)
-        to = self.index.get(after)
+        move = self.moves[state][char] = (self.intern(after), emitted)
+        return move
+
+    def intern(self, chain: tuple) -> int:
+        to = self.index.get(chain)
         if to is None:
-            to = self.index[after] = len(self.states)
-            self.states.append(after)
+            to = self.index[chain] = len(self.states)
+            self.states.append(chain)
             self.moves.append({})
-        move = self.moves[state][char] = (to, emitted)
-        return move
+        return to
 
     def run(self, state: int, block: str) -> tuple[int, int]:
-        """The state map of a block at one state: where it leads, and the tokens it emits."""
+        """The state map of a block at one state: where it leads, and the tokens it emits. Valid until forget()."""
         total, moves = 0, self.moves
         for char in block:
             move = moves[state].get(char) or self.step(state, char)
@@ -159,12 +164,32 @@ class Transducer:
             total += move[1]
         return state, total
 
+    def forget(self) -> None:
+        """Drops all compiled states but the start; states that go on are carried as their chains."""
+        if len(self.states) > STATES:
+            self.states, self.index, self.moves = self.states[:1], {self.states[0]: 0}, [{}]
+            self.fits.clear()
+            self.halves.clear()
+
+    def image(self, chain: tuple, block: str) -> tuple[tuple, int]:
+        """run() on chains instead of numbers of states, which forget() does not change."""
+        self.forget()
+        state, total = self.run(self.intern(chain), block)
+        return self.states[state], total
+
+    def block_map(self, before: str, block: str) -> dict[tuple, tuple[tuple, int]]:
+        """{entry: (exit, emitted)} of a block for the states that can enter it after the text `before`."""
+        start = self.states[self.START]
+        entries = {self.image(start, before[i:])[0] for i in range(len(before))} or {start}
+        return {entry: self.image(entry, block) for entry in entries}
+
     def word(self, chunk: str) -> int:
         """Tokens of a chunk with one space mark at most."""
         if len(chunk) <= BLOCK:
             return self.run(self.START, chunk)[1]
-        maps = [(lambda s, b=chunk[i : i + BLOCK]: self.run(s, b)) for i in range(0, len(chunk), BLOCK)]
-        return scan(maps)(self.START)[1]
+        blocks = [chunk[i : i + BLOCK] for i in range(0, len(chunk), BLOCK)]
+        maps = [BlockMap(self, blocks, i, i + 1, self.block_map(blocks[i - 1][-WARM:] if i else "", b)) for i, b in enumerate(blocks)]
+        return inclusive_scan(maps)[-1](self.states[self.START])[1]
 
     def mark_run(self, n: int) -> int:
         if n not in self.marks:
@@ -187,8 +212,7 @@ class Transducer:
     def __call__(self, text: str) -> int:
         if not text:
             return 0
-        if len(self.states) > STATES:
-            self.__init__(self.score)
+        self.forget()
         known, total = self.chunks, 0
         if len(known) > MEMO:
             known.clear()
@@ -202,22 +226,38 @@ class Transducer:
         return total
 
 
-def compose(f, g):
-    """The map of two blocks in a row; associative."""
+class BlockMap:
+    """The state map of blocks [first, end), as a table; an entry outside the table is run through the blocks."""
+
+    def __init__(self, of: Transducer, blocks: list[str], first: int, end: int, table: dict):
+        self.of, self.blocks, self.first, self.end, self.table = of, blocks, first, end, table
 
-    def both(state):
-        state, a = f(state)
-        state, b = g(state)
-        return state, a + b
+    def __call__(self, entry: tuple) -> tuple[tuple, int]:
+        found = self.table.get(entry)
+        if found is None:
+            state, total = entry, 0
+            for i in range(self.first, self.end):
+                state, n = self.of.image(state, self.blocks[i])
+                total += n
+            found = self.table[entry] = state, total
+        return found
 
-    return both
+    def then(self, after: BlockMap) -> BlockMap:
+        """Composition; associative."""
+        table = {}
+        for entry, (through, a) in self.table.items():
+            out, b = after(through)
+            table[entry] = out, a + b
+        return BlockMap(self.of, self.blocks, self.first, after.end, table)
 
 
-def scan(maps: list):
-    """Combines state maps pairwise, level by level, as a parallel prefix scan does."""
-    while len(maps) > 1:
-        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+def inclusive_scan(maps: list[BlockMap]) -> list[BlockMap]:
+    """The maps of all beginnings of a row of blocks: in round r each takes in the map that ends 2**r places before it."""
+    step = 1
+    while step < len(maps):
+        maps = [maps[i - step].then(m) if i >= step else m for i, m in enumerate(maps)]
+        step *= 2
+    return maps
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -238,7 +278,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     Null text counts as empty: 0 bytes and 0 tokens. Repeated rows and null ids are counted row by row;
     other columns, whatever their names, are not read. One narrow pass without a shuffle: a
-    lost executor costs its tasks only, and memory is bounded by an Arrow batch and `MEMO` chunks.
+    lost executor costs its tasks only, and memory is bounded by an Arrow batch, `MEMO` chunks and the states of one block beyond `STATES`.
     """
     common.ship(docs.sparkSession)
     # The vocabulary file bounds the broadcast.

@@ -30,13 +30,27 @@ def test_counts_equal_the_library(counter):
         assert counter(s) == len(lib.encode(s)), repr(s)
 
 
-def test_transitions_and_maps_compose(counter):
-    text = "▁internationalization" * 3
-    whole = counter.run(counter.START, text)
-    for k in (1, 5, 17):
-        maps = [(lambda s, b=text[i : i + k]: counter.run(s, b)) for i in range(0, len(text), k)]
-        assert tc.scan(maps)(counter.START) == whole
-        assert tc.compose(tc.scan(maps[:2]), tc.scan(maps[2:]))(counter.START) == whole
+def test_block_maps_and_their_scan(counter):
+    start = counter.states[counter.START]
+    for text in ("▁internationalization" * 3, "▁" + "aaaaabab" * 9):
+        for k in (1, 5, 17):
+            blocks = [text[i : i + k] for i in range(0, len(text), k)]
+            maps = [tc.BlockMap(counter, blocks, i, i + 1, counter.block_map(blocks[i - 1][-6:] if i else "", b)) for i, b in enumerate(blocks)]
+            scanned = tc.inclusive_scan(maps)
+            for i, m in enumerate(scanned):
+                assert m(start) == counter.image(start, "".join(blocks[: i + 1]))
+            left, right = maps[0].then(maps[1]).then(maps[2]), maps[0].then(maps[1].then(maps[2]))
+            assert left(start) == right(start)
+
+
+def test_long_chunks_hold_few_states(monkeypatch):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(3)
+    monkeypatch.setattr(tc, "STATES", 3000)
+    c = tc.Transducer(tc.load_pieces(PIECES))
+    for text in ("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "ab" * 20_000, "etaoin" * 5000 + "x"):
+        assert c(text) == len(lib.encode(text))
+    assert len(c.states) < 3000 + 5 * tc.BLOCK
 
 
 def test_pieces_with_inner_marks_are_refused():
