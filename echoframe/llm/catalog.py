@@ -22,7 +22,7 @@ def op3_bpe_codec(spark, sf_dir):
 
 
 def op4_secret_scan(spark, sf_dir):
-    return secrets.scan_documents(common.read(spark, sf_dir, "documents"))
+    return secrets.scan_documents(common.read(spark, sf_dir, "documents"), words=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_substring_dedup(spark, sf_dir):

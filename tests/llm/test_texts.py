@@ -40,24 +40,65 @@ def test_base_spans_against_plain_patterns():
         assert base == slow_spans(t), t
 
 
-def slow_cost(value):
-    """All segmentations, by recursion."""
-    if not value:
-        return 0.0
-
-    def go(i):
-        if i == len(value):
-            return 0.0
-        more = math.log10(2) if i else 0
-        return min([1 + go(i + 1)] + [more + c + go(e) for e, c in secrets.spans_at(value, i, secrets._rank, secrets._longest)])
-
-    return go(0)
+def slow_cost(value, ranks):
+    """The cheapest of all segmentations; spans and their prices by their definitions."""
+    keys = {c: (r, i) for r, row in enumerate(secrets.ROWS) for i, c in enumerate(row)}
+    month, day, year = "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])", "(19|20)[0-9][0-9]"
+    dates = [f"{year}[-/._]{month}[-/._]{day}", f"{day}[-/._]{month}[-/._]{year}", f"{year}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])", f"(0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2]){year}"]
+    signs = dict(zip("@48310$57", "aabeiosst"))
+
+    def price(i, e):
+        s = value[i:e]
+        low, n = s.lower(), len(s)
+        out = [n]
+        for word, factor in ((low, 1), ("".join(signs.get(c, c) for c in low), 4)):
+            if word in ranks:
+                out.append(math.log10(factor * ranks[word] + 1) + (0 if s == low else math.log10(2) if s == s.capitalize() or s.isupper() else n / 2 * math.log10(2)))
+        if re.fullmatch(year, s):
+            out.append(math.log10(60))
+        if any(re.fullmatch(d, s) for d in dates):
+            out.append(math.log10(365 * 60))
+        if n >= 3 and all(a in keys and b in keys and a != b and max(abs(x - y) for x, y in zip(keys[a], keys[b])) <= 1 for a, b in zip(low, low[1:])):
+            out.append(math.log10(len(keys)) + 0.6 * (n - 1))
+        if n >= 3 and {ord(b) - ord(a) for a, b in zip(s, s[1:])} in ({1}, {-1}):
+            out.append(math.log10(26) + 0.1 * (n - 1))
+        for u in range(1, min(i, n) + 1):
+            if n % u == 0 and s == value[i - u : i] * (n // u):
+                out.append(0.3 + 0.1 * (n // u))
+        return min(out)
+
+    best = [0.0] + [math.inf] * len(value)
+    for e in range(1, len(value) + 1):
+        best[e] = min(best[i] + price(i, e) + (math.log10(2) if i else 0) for i in range(e))
+    return best[-1]
 
 
 def test_guess_cost_is_the_cheapest_segmentation():
-    for v in ("password1", "qwerty2019", "aaaaaaa", "abcabc", "x9Kq", "12-05-1999", "Dragon", "p4ssw0rd", "", "abcdefg"):
-        assert math.isclose(secrets.guess_cost(v), slow_cost(v), abs_tol=1e-9), v
+    words = secrets.Words([*secrets.COMMON, *secrets.load_words(P.path("word_bpe_49k.json"))])
+    rng = np.random.default_rng(5)
+    values = ["password1", "qwerty2019", "aaaaaaa", "abcabc", "x9Kq", "12-05-1999", "Dragon", "p4ssw0rd", "", "abcdefg", "wertyuiopassword", "zyxwvu9", "xyxyxyzxyxyxyz", "20190412abcd", "PaSSword31.12.2020", "aabaabaabaab"]
+    values += ["".join(rng.choice(list("ab1qwe9$"), rng.integers(1, 16))) for _ in range(150)]
+    for v in values:
+        assert math.isclose(secrets.guess_cost(v, words), slow_cost(v, words.rank), abs_tol=1e-9), v
     assert secrets.guess_cost("password") < secrets.guess_cost("xK9#mQ2v") and secrets.guess_cost("qwertyuiop") < 3
+    assert all(secrets.guess_cost(v, words) < 10 for v in ("development", "communications", "Wertyuiopassword"))
+
+
+def test_repeats_are_maximal():
+    assert secrets.repeats("aaaa") == [(1, 1, 4)] and secrets.repeats("abcabcabx") == [(3, 3, 8)]
+    assert secrets.repeats("xyzxyz") == [(3, 3, 6)] and secrets.repeats("abcd") == secrets.repeats("") == []
+
+
+def test_very_long_values_end():
+    import time
+
+    rng = np.random.default_rng(6)
+    for v in ("a" * 100_000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 50_000))):
+        began = time.process_time()
+        assert secrets.guess_cost(v) > 10
+        assert time.process_time() - began < 20
+    once = secrets.guess_cost("kX9#qLm2vTz8")
+    assert math.isclose(secrets.guess_cost("kX9#qLm2vTz8" * 2000), once + math.log10(2) + 0.3 + 0.1 * 1999)
 
 
 def test_strong_values_only():
