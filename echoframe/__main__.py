@@ -33,7 +33,10 @@ def build_neighbors(spark, a) -> None:
     edges, meta = topk.build(table, a.top_k, a.candidate_k, a.pooling, a.design)
     artifacts.write(edges, a.out, meta)
     if a.sanity_check:
-        print(topk.sanity_check(artifacts.read(spark, a.out)[0], topk.dtw_topk(table, a.top_k), a.top_k).first().asDict())
+        # A sample of queries against all clips; the built table's rows of these.
+        queries = sampler.sample(table, a.sanity_queries, a.seed)
+        approx = artifacts.read(spark, a.out)[0].join(queries.select("clip_idx"), "clip_idx", "left_semi")
+        print(topk.sanity_check(approx, topk.dtw_against(queries, table, a.top_k), a.top_k).first().asDict())
 
 
 def run_evaluation(spark, a) -> None:
@@ -53,11 +56,11 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument(name, **kw)
     n = sub.add_parser("neighbors")
     n.set_defaults(run=build_neighbors)
-    for name, kw in (("clips", {}), ("out", {}), ("--design", {"default": "abs_21j_coords"}), ("--top-k", {"type": int, "default": 20}), ("--candidate-k", {"type": int, "default": 100}), ("--pooling", {"default": "stats4"}), ("--sanity-check", {"action": "store_true"})):
+    for name, kw in (("clips", {}), ("out", {}), ("--design", {"default": "abs_21j_coords"}), ("--top-k", {"type": int, "default": 20}), ("--candidate-k", {"type": int, "default": 100}), ("--pooling", {"default": "stats4"}), ("--sanity-check", {"action": "store_true"}), ("--sanity-queries", {"type": int, "default": 1000}), ("--seed", {"type": int, "default": 42})):
         n.add_argument(name, **kw)
     e = sub.add_parser("evaluate")
     e.set_defaults(run=run_evaluation)
-    for name, kw in (("embeddings", {}), ("neighbors", {}), ("--out", {}), ("--run", {"default": "run", "dest": "run_name"}), ("--epoch", {"type": int, "default": 0}), ("--recall-k", {"type": int, "nargs": "+", "default": [1, 5, 10, 20]}), ("--cknna-topk", {"type": int, "default": 10})):
+    for name, kw in (("embeddings", {}), ("neighbors", {}), ("--out", {}), ("--run", {"default": "run", "dest": "run_name"}), ("--epoch", {"type": int, "default": 0}), ("--recall-k", {"type": int, "nargs": "+", "default": [1, 5, 10, 20]}), ("--cknna-topk", {"type": int, "nargs": "+", "default": [10]})):
         e.add_argument(name, **kw)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()

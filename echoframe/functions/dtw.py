@@ -59,6 +59,9 @@ METHODS: dict[str, Callable] = {"symmetric2": kernel}
 
 def distances(left: list[np.ndarray], right: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray], method: str = "symmetric2", norm: str = "mean_length") -> np.ndarray:
     """Distances of clip pairs given as places in two lists; pairs of equal lengths are run together."""
+    for name, known in ((method, METHODS), (norm, NORMS)):
+        if name not in known:
+            raise ValueError(f"{name!r} is not one of {sorted(known)}")
     run, scale = METHODS[method], NORMS[norm]
     x, y = pairs
     la = np.array([len(c) for c in left])

@@ -16,17 +16,29 @@ def _recalls(model, target, queries, ks, relevance, prefix=""):
     return {f"{prefix}R@{r.k}": r.recall for r in metrics.recall_at(model, target, queries, ks, relevance).collect()}
 
 
-def in_set(vectors: DataFrame, target: DataFrame, ks: list[int], cknna_topk: int, relevance: int = 20, reference: DataFrame | None = None) -> dict[str, float]:
+def _require_neighbours(model: DataFrame, queries: DataFrame, k: int) -> None:
+    """RuntimeError where a query has fewer than k neighbours."""
+    found = model.where(F.col("rank") <= k).groupBy("clip_idx").count()
+    short = queries.select("clip_idx").join(found, "clip_idx", "left").where(F.coalesce("count", F.lit(0)) < k).count()
+    if short:
+        raise RuntimeError(f"{short} queries have fewer than {k} neighbours")
+
+
+def in_set(vectors: DataFrame, target: DataFrame, ks: list[int], cknna_topk: int | list[int], relevance: int = 20, reference: DataFrame | None = None) -> dict[str, float]:
     """Metrics of embeddings (clip_idx, z) against the neighbour table of the same clips; with `reference`, a table by another
-    similarity, its recalls and CKNNA as well (jepa_...)."""
+    similarity, its recalls and CKNNA as well (jepa_...). With several values of cknna_topk, the first names the plain
+    metrics and each one cknna_dtw@k, from the same neighbours."""
     n = vectors.count()
-    k = min(cknna_topk, n - 1)
-    model = topk.cosine_topk(vectors, min(max([*ks, k]), n - 1)).persist()
+    several = [cknna_topk] if isinstance(cknna_topk, int) else list(cknna_topk)
+    k = min(several[0], n - 1)
+    model = topk.cosine_topk(vectors, min(max([*ks, *several]), n - 1)).persist()
     out = _recalls(model, target, vectors, ks, relevance)
     for name, table, prefix in (("dtw", target, ""), ("jepa", reference, "jepa_")):
         if table is not None:
             out[f"cknna_{name}"] = metrics.cknna(model, table, k, n).first()[0]
             out[f"mutual_knn_{name}"] = metrics.mutual_knn(model, table, k, n).first()[0]
+            if len(several) > 1:
+                out |= {f"cknna_{name}@{x}": metrics.cknna(model, table, min(x, n - 1), n).first()[0] for x in several}
             if prefix:
                 out |= _recalls(model, table, vectors, ks, relevance, prefix)
     model.unpersist()
@@ -45,6 +57,7 @@ def against_pool(queries: DataFrame, corpus: DataFrame, target: DataFrame, ks: l
     ids = queries.select("clip_idx")
     rows, columns = queries.count(), corpus.count()
     model = topk.cosine_topk(corpus, max([*ks, need])).join(ids, "clip_idx", "left_semi").persist()
+    _require_neighbours(model, queries, need)
     table = target.join(ids, "clip_idx", "left_semi").persist()
     out = _recalls(model, table, queries, ks, min(relevance, width), f"{prefix}_")
     for k in topks:

@@ -119,8 +119,9 @@ def model_input(clips: DataFrame, mode: str) -> DataFrame:
     return clips.select("clip_idx", F.col(columns[mode]).alias("frames"))
 
 
-def grand_mean(clips: DataFrame, frames: str = "frames") -> DataFrame:
-    """(pos, value): the mean over all frames of all clips, from which queries start."""
+def grand_mean(clips: DataFrame, frames: str = "frames", first: int | None = None) -> DataFrame:
+    """(pos, value): the mean over all frames of all clips, or of the first ones by id, from which queries start."""
+    clips = clips if first is None else clips.orderBy("clip_idx").limit(first)
     return clips.select(F.explode(frames).alias("f")).select(F.posexplode("f").alias("pos", "x")).groupBy("pos").agg((F.sum("x") / F.count("*")).alias("value"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, dtw, pooling
 from ..functions.transforms import design as by_name
-from .blocks import ROWS, block_pairs
+from .blocks import ROWS, block_pairs, n_blocks
 
 EDGES = "clip_idx long, neighbor_idx long, sim double"
 
@@ -74,8 +74,35 @@ def ranked(edges: DataFrame, k: int) -> DataFrame:
     return best(edges, k).select("clip_idx", "rank", "neighbor_idx", (F.col("sim") + 0.0).alias("dtw_sim"))
 
 
-def dtw_pairs(pairs: DataFrame, clips: DataFrame, method: str = "symmetric2", norm: str = "mean_length") -> DataFrame:
-    """Adds `sim` to explicit pairs (clip_idx, neighbor_idx)."""
+def dtw_topk_with_train(clips: DataFrame, train: DataFrame, k: int, method: str = "symmetric2", norm: str = "mean_length", rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """dtw_topk() of all clips and of the training clips among themselves, from one pass over the pairs. Both tables read the
+    written result of that pass if the caller persists or writes them; as plans they share its text only."""
+    marked = clips.join(train.select("clip_idx", F.lit(True).alias("t")).distinct(), "clip_idx", "left").select("clip_idx", "frames", F.coalesce("t", F.lit(False)).alias("t"))
+
+    def run(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        if same:
+            right = left
+        a, b = _frames(left["frames"]), _frames(right["frames"])
+        x, y = np.triu_indices(len(a), 1) if same else (i.ravel() for i in np.indices((len(a), len(b))))
+        sim = np.full((len(a), len(b)), -np.inf)
+        sim[x, y] = -dtw.distances(a, b, (x, y), method, norm)
+        if same:
+            sim[y, x] = sim[x, y]
+        ids = left["clip_idx"].to_numpy(), right["clip_idx"].to_numpy()
+        both = left["t"].to_numpy()[:, None] & right["t"].to_numpy()[None]
+        tables = [_both_sides(*ids, np.where(keep, sim, -np.inf), same, k) for keep in (True, both)]
+        return pa.concat_tables([t.append_column("train", pa.array([i == 1] * len(t), pa.bool_())) for i, t in enumerate(tables)])
+
+    edges = block_pairs(marked, "clip_idx", run, EDGES + ", train boolean", rows)
+    return ranked(edges.where("not train"), k), ranked(edges.where("train"), k)
+
+
+def dtw_pairs(pairs: DataFrame, clips: DataFrame, method: str = "symmetric2", norm: str = "mean_length", per_clip: int = 0, rows: int = ROWS) -> DataFrame:
+    """Adds `sim` to explicit pairs (clip_idx, neighbor_idx), each once. Where a clip has `per_clip` pairs, more than twice the
+    blocks of clips, pairs of blocks meet and a clip is sent once to each; else both clips go with every pair."""
+    n = n_blocks(clips, rows) if per_clip else 0
+    if 0 < 2 * n <= per_clip:
+        return _dtw_pairs_by_block(pairs, clips, n, method, norm)
     a = clips.select(F.col("clip_idx"), F.col("frames").alias("fa"))
     b = clips.select(F.col("clip_idx").alias("neighbor_idx"), F.col("frames").alias("fb"))
 
@@ -89,28 +116,50 @@ def dtw_pairs(pairs: DataFrame, clips: DataFrame, method: str = "symmetric2", no
     return pairs.select("clip_idx", "neighbor_idx").join(b, "neighbor_idx").join(a, "clip_idx").select("clip_idx", "neighbor_idx", "fa", "fb").mapInArrow(run, EDGES)
 
 
-def dtw_against(queries: DataFrame, corpus: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
-    """The k nearest clips of a corpus for each query clip, itself not counted: blocks of the corpus meet all queries
-    of a block."""
-    marked = queries.select("clip_idx", "frames", F.lit(True).alias("q")).unionByName(corpus.select("clip_idx", "frames", F.lit(False).alias("q")))
+def _dtw_pairs_by_block(pairs: DataFrame, clips: DataFrame, n: int, method: str, norm: str) -> DataFrame:
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    ends = block("clip_idx"), block("neighbor_idx")
+    # Names of their own, as both sides may come from one table.
+    asked = pairs.select(F.least(*ends).alias("pi"), F.greatest(*ends).alias("pj"), F.col("clip_idx").alias("a"), F.col("neighbor_idx").alias("b"))
+    mine = clips.select("clip_idx", "frames").withColumn("b", block("clip_idx")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sent = mine.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "clip_idx", "frames")
 
-    def run(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        both = [left] if same else [left, right]
-        out = []
-        for one, two in [(left, left)] if same else [(left, right), (right, left)]:
-            q, c = one.filter(one["q"]), two.filter(pa.compute.invert(two["q"]))
-            if len(q) and len(c):
-                a, b = _frames(q["frames"]), _frames(c["frames"])
-                x, y = (i.ravel() for i in np.indices((len(a), len(b))))
-                sim = -dtw.distances(a, b, (x, y)).reshape(len(a), len(b))
-                qi, ci = q["clip_idx"].to_numpy(), c["clip_idx"].to_numpy()
-                out += _k_best(qi, ci, np.where(qi[:, None] == ci[None], -np.inf, sim), k)
-        del both
-        return _table(out)
+    def run(pairs: pa.Table, clips: pa.Table) -> pa.Table:
+        if not len(pairs):
+            return _table([])
+        ids, once = np.unique(clips["clip_idx"].to_numpy(), return_index=True)
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        known = np.isin(a, ids) & np.isin(b, ids)
+        a, b = a[known], b[known]
+        x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        # A pair that both clips ask for is computed once.
+        pair, back = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y), return_inverse=True)
+        frames = _frames(clips["frames"].take(once))
+        sim = -dtw.distances(frames, frames, np.divmod(pair, len(ids)), method, norm)[back]
+        return pa.table([pa.array(a), pa.array(b), pa.array(sim, pa.float64())], names=["clip_idx", "neighbor_idx", "sim"])
 
-    import pyarrow.compute  # noqa: F401
+    return asked.groupBy("pi", "pj").cogroup(sent.groupBy("i", "j")).applyInArrow(run, EDGES)
 
-    return ranked(block_pairs(marked, "clip_idx", run, EDGES, rows), k)
+
+def dtw_against(queries: DataFrame, corpus: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
+    """The k nearest clips of a corpus for each query clip, itself not counted: every block of queries meets every block
+    of the corpus, and nothing else meets."""
+    nq, nc = n_blocks(queries, rows), n_blocks(corpus, rows)
+    deal = lambda n: F.pmod(F.xxhash64("clip_idx"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Names of their own, as both sides may come from one table.
+    asked = queries.select(F.col("clip_idx").alias("q"), F.col("frames").alias("qf"), deal(nq).alias("qi"), each(nc).alias("qj"))
+    there = corpus.select("clip_idx", "frames", each(nq).alias("i"), deal(nc).alias("j"))
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return _table([])
+        a, b = _frames(q["qf"]), _frames(c["frames"])
+        sim = -dtw.distances(a, b, tuple(i.ravel() for i in np.indices((len(a), len(b))))).reshape(len(a), len(b))
+        qi, ci = q["q"].to_numpy(), c["clip_idx"].to_numpy()
+        return _table(_k_best(qi, ci, np.where(qi[:, None] == ci[None], -np.inf, sim), k))
+
+    return ranked(asked.groupBy("qi", "qj").cogroup(there.groupBy("i", "j")).applyInArrow(run, EDGES), k)
 
 
 def cosine_topk(vectors: DataFrame, k: int, vector: str = "z", rows: int = 4 * ROWS) -> DataFrame:
@@ -129,7 +178,7 @@ def cosine_topk(vectors: DataFrame, k: int, vector: str = "z", rows: int = 4 * R
 def filtered_topk(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats4", width: int | None = None, dim: int | None = None) -> DataFrame:
     """Neighbours by filter and refine: pooled vectors choose `candidate_k` candidates by cosine, exact distances rank them."""
     pooled = clips.select("clip_idx", arrays.l2_normalize(pooling.pool(F.col("frames"), kind, width, dim)).alias("z"))
-    return ranked(dtw_pairs(cosine_topk(pooled, candidate_k), clips), k)
+    return ranked(dtw_pairs(cosine_topk(pooled, candidate_k), clips, per_clip=candidate_k), k)
 
 
 def build(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats4", design: str = "abs_21j_coords", width: int | None = None, dim: int | None = None) -> tuple[DataFrame, dict]:

@@ -62,15 +62,16 @@ def require_features(clips: DataFrame, files: DataFrame) -> None:
         raise RuntimeError(f"{missing} clips have no feature file")
 
 
-def read_features(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Token matrices of the listed files as arrays, one file a row, read on executors."""
+def read_features(spark: SparkSession, root: str, files: DataFrame, suffix: str = "npy") -> DataFrame:
+    """Token matrices of the listed files under a folder as arrays, one file a row, read on executors: the listing is joined
+    with the folder's, so no path passes through the driver's program."""
     import io
 
     import numpy as np
     import pandas as pd
 
-    paths = [r.path for r in files.select("path").collect()]  # names only
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
+    raw = there.select("path", "content").join(files.select("path"), "path", "left_semi")
 
     def decode(batches):
         for b in batches:

@@ -57,7 +57,7 @@ def test_dtw_norm_none_and_band():
 def test_dtw_rejects_empty_clips_and_unknown_names():
     with pytest.raises(ValueError):
         dtw.kernel(np.zeros((1, 0, 2)), np.zeros((1, 3, 2)))
-    with pytest.raises(KeyError):
+    with pytest.raises(ValueError, match="is not one of"):
         dtw.distances([np.zeros((1, 1))], [np.zeros((1, 1))], (np.array([0]), np.array([0])), method="other")
     with pytest.raises(ValueError):
         transforms.design("other")

@@ -64,6 +64,40 @@ def test_empty_and_single(spark):
     assert topk.dtw_topk(df.limit(0), 2).count() == 0 and topk.dtw_topk(df.where("clip_idx = 0"), 2).count() == 0
 
 
+@pytest.mark.parametrize("rows", [4, 30])
+def test_pairs_by_block_and_by_pair_agree(spark, rows):
+    data, df = clips_df(spark)
+    pairs = spark.createDataFrame([(i, j) for i in range(23) for j in range(0, 23, 2) if i != j], "clip_idx long, neighbor_idx long")
+    m = matrix(data)
+    for some in (topk.dtw_pairs(pairs, df), topk.dtw_pairs(pairs, df, per_clip=100, rows=rows)):
+        got = {(r.clip_idx, r.neighbor_idx): r.sim for r in some.collect()}
+        assert len(got) == pairs.count() and all(math.isclose(got[i, j], m[i, j], abs_tol=1e-9) for i, j in got)
+
+
+@pytest.mark.parametrize("rows", [5, 100])
+def test_both_tables_of_one_pass(spark, rows):
+    data, df = clips_df(spark)
+    train = [i for i in range(23) if i % 3]
+    both = topk.dtw_topk_with_train(df, df.where("clip_idx % 3 != 0"), 4, rows=rows)
+    assert as_dict(both[0]) == brute_top(matrix(data), 4)
+    assert as_dict(both[1]) == {i: x for i, x in brute_top(matrix(data), 4, set(train)).items() if i in train}
+
+
+def test_gather_and_train_queries(spark):
+    _, df = clips_df(spark)
+    places = spark.createDataFrame([(0, 5), (1, 5), (2, 3)], "slot int, position long")
+    rows = df.select(F.col("clip_idx").alias("position"), "video_number")
+    assert sorted((r.slot, r.position) for r in sampler.gather(rows, places).collect()) == [(0, 5), (1, 5), (2, 3)]
+    assert sampler.gather(rows, places.limit(0)).count() == 0
+    assert sampler.train_queries(df, 5, 1).collect() == sampler.sample(df, 5, 2).collect()
+
+
+def test_recall_counts_negative_ids(spark):
+    e = spark.createDataFrame([(-5, 1, -7), (-7, 1, -5), (3, 1, -5)], "clip_idx long, rank int, neighbor_idx long")
+    got = {r.k: r.recall for r in metrics.recall_at(e, e, e.select("clip_idx"), [1]).collect()}
+    assert got == {1: 1.0}
+
+
 def test_filter_and_refine_is_exact_with_all_candidates(spark):
     _, df = clips_df(spark)
     assert as_dict(topk.filtered_topk(df, 3, 22)) == as_dict(topk.dtw_topk(df, 3))

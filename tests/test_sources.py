@@ -66,7 +66,7 @@ def test_feature_files(spark, tmp_path):
     assert artifacts.with_features(c, files).count() == 1
     with pytest.raises(RuntimeError):
         artifacts.require_features(c, files)
-    t = artifacts.read_features(spark, files.where("node_uid = 'c'")).first().tokens
+    t = artifacts.read_features(spark, str(tmp_path), files.where("node_uid = 'c'")).first().tokens
     assert t == [[2.0] * 3] * 2
 
 
