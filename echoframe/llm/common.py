@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -17,6 +18,7 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 _own_dirs: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,10 +39,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one in local mode, whose
+    tasks share the driver's disk; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="echoframe-"))
     return f"{named.rstrip('/')}/echoframe-{app}"
 
@@ -60,11 +65,14 @@ def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").format("parquet").saveAsTable(table)
+    _tables.append(table)
     return spark.table(table)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Removes what materialize() has written in this application."""
+    """Removes what materialize() and materialize_bucketed() have written in this application."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

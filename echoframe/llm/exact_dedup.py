@@ -72,7 +72,10 @@ def _collapse(with_text: bool, ordered: bool, budget: int):
                 if table.bytes > budget and not (ordered and digest == last):
                     yield from table.batches(with_text)
                     table.clear()
+                held = len(table.texts)
                 table.add(digest, text, doc_id, n)
+                if ordered and digest == last and len(table.texts) > held:
+                    raise RuntimeError("two texts share a SHA-256")
                 last = digest
         yield from table.batches(with_text)
 
@@ -98,7 +101,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and all carry kept; `deduplicate` leaves one of them. Other columns are not read. An empty table gives none.
 
     The last join is by digest, after contents have been compared whole: two contents of one digest
-    would end the job with an error. Copies of a hot text are a row per task before the exchange,
+    end the job with an error. Copies of a hot text are a row per task before the exchange,
     and the join by digest is an equi-join that adaptive execution splits.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -149,6 +149,18 @@ def test_table_compares_contents_not_hashes():
     assert len(t.texts) == 1500 and set(t.n) == {2} and t.keep[0] == 1500
 
 
+def test_two_contents_of_one_digest_are_an_error():
+    import pyarrow as pa
+    import pytest
+
+    rows = [[b"d" * 32, b"d" * 32, b"e" * 32], ["one", second := "two", "x"], [1, 2, 3], [1, 1, 1]]
+    batch = lambda: pa.RecordBatch.from_arrays(list(map(pa.array, rows)), names=["digest", "text", "keep_id", "n"])
+    with pytest.raises(RuntimeError, match="share"):
+        list(exact_dedup._collapse(False, True, 10)([batch()]))
+    rows[1][1] = second.replace("two", "one")
+    assert sum(b.num_rows for b in exact_dedup._collapse(False, True, 10)([batch()])) == 2
+
+
 def test_deduplicate_keeps_columns_and_one_row(docs):
     df = docs([*ODD, (9, "one two")], extra=True)
     got = exact_dedup.deduplicate(df)
