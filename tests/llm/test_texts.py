@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from pyspark.sql import functions as F
 
 from echoframe.llm import exact_dedup, language_id, lm_score, secrets
@@ -151,7 +152,6 @@ def test_table_compares_contents_not_hashes():
 
 def test_two_contents_of_one_digest_are_an_error():
     import pyarrow as pa
-    import pytest
 
     rows = [[b"d" * 32, b"d" * 32, b"e" * 32], ["one", second := "two", "x"], [1, 2, 3], [1, 1, 1]]
     batch = lambda: pa.RecordBatch.from_arrays(list(map(pa.array, rows)), names=["digest", "text", "keep_id", "n"])
@@ -161,6 +161,24 @@ def test_two_contents_of_one_digest_are_an_error():
     assert sum(b.num_rows for b in exact_dedup._collapse(False, True, 10)([batch()])) == 2
 
 
+@pytest.mark.parametrize("budget", [300, 5_000, 60_000, 1 << 30])
+def test_buckets_are_dealt_to_spill_files_until_one_fits(budget):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [f"t{i} " + "y" * int(n) for i, n in zip(rng.integers(0, 300, 900), rng.integers(0, 2, 900) * 100, strict=True)] + ["hot"] * 400 + [""] * 3 + ["z" * 20_000]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+
+    def batches():
+        for k in range(0, len(texts), 70):
+            t = texts[k : k + 70]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x.encode()).digest() for x in t]), pa.array(t), pa.array([None if x == "" else i for i, x in enumerate(t, k)], pa.int64()), pa.array([1] * len(t))], names=["digest", "text", "keep_id", "n"])
+
+    got = [row for b in exact_dedup._collapse(True, True, budget)(batches()) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+    want = {t: (max(i for i, x in enumerate(texts) if x == t) if t else None, texts.count(t)) for t in set(texts)}
+    assert len(got) == len(want) and {t: (k, n) for t, k, n in got} == want
+
+
 def test_deduplicate_keeps_columns_and_one_row(docs):
     df = docs([*ODD, (9, "one two")], extra=True)
     got = exact_dedup.deduplicate(df)
