@@ -35,6 +35,8 @@ WORDS, PERCENT, PIVOT_ROUNDS = 5, 80, 3
 BLOCK_BYTES = 24 << 20
 #: Bits of a shingle's hash that are kept.
 BITS = 50
+#: Rows of a block's documents that pass the ranges of shingles together.
+TOGETHER = 100
 #: Tasks over which the postings of one shingle are dealt.
 SALTS = 8
 
@@ -81,7 +83,7 @@ def _spread(buckets: int, block_bytes: int):
         nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         for k in range(0, len(ids), 5000):
             j = slice(k, k + 5000)
-            yield rows(block, bucket=[-1 - k % 997] * len(ids[j]), at=list(range(k, k + len(ids[j]))), doc_id=ids[j], n=n[j], node=nodes[j])
+            yield rows(block, bucket=[-1 - i // TOGETHER for i in range(len(ids))[j]], at=list(range(k, k + len(ids[j]))), doc_id=ids[j], n=n[j], node=nodes[j])
         h, at = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), n)
         order = np.argsort(h, kind="stable")
         h, at = h[order], at[order]
