@@ -5,8 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, exact_dedup, language_id, lm_score, mixing, ngram_join, secrets, substring_dedup, token_counts
-
+from . import ann, bpe, common, exact_dedup, filter_audit, followups, language_id, lm_score, mixing, ngram_join, packing, secrets, substring_dedup, token_counts
 
 
 def op1_token_counts(spark, sf_dir):
@@ -49,9 +48,21 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify(common.read(spark, sf_dir, "documents"))
 
 
+def op11_exact_complement_packing(spark, sf_dir):
+    return packing.pack(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_follow_up_alerts(spark, sf_dir):
+    return followups.alerts(common.read(spark, sf_dir, "clicks"), common.read(spark, sf_dir, "sales"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op5_substring_dedup, op6_source_mixing, op7_multi_index_search, op8_ngram_join, op9_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lattice_likelihood, op3_bpe_codec, op4_secret_scan, op5_substring_dedup, op6_source_mixing, op7_multi_index_search, op8_ngram_join, op9_exact_dedup, op10_language_id, op11_exact_complement_packing, op12_follow_up_alerts, op13_filter_audit)}
 
 
 def oracle_sql():
-    return {"op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op8_ngram_join": ngram_join.SQL, "op9_exact_dedup": exact_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
