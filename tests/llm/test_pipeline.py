@@ -70,6 +70,6 @@ def test_run_is_registered_and_agrees(stages, spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and math.isfinite(len(names)) and bpe.MEMO
