@@ -37,6 +37,10 @@ YOUNG = """0558 058b-058c 088f 0c5c 0cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd
 #: Capitals that it lowers and Python's tables do not: first, last, distance.
 CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
 _capitals = {c: c + by for first, last, by in CAPITALS for c in range(first, last + 1)}
+#: Combining marks that its tables lack, so that it takes them for letters, and the second part of a pair that it does not compose.
+MARKS = """07fd 0898-089f 08ca-08d3 09fe 0c3c 0d3b-0d3c 0eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070
+1133b 1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef
+1e4ec-1e4ef""".split()
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -91,7 +95,8 @@ class Codec:
             raise ValueError("a tokenizer of another kind")
         pattern = d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE)
         self.words = regex.compile(pattern)
-        young = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in YOUNG)
+        young, marks = ("".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges) for ranges in (YOUNG, MARKS))
+        self.marks = regex.compile(f"([{marks}])")
         self.young = regex.compile(f"[{young}]")
         self.words_young = regex.compile(pattern.replace(r"[\p{L}]", rf"[\p{{L}}--[{young}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{young}]]").replace(rf"[^{WHITE}\p{{L}}\p{{N}}]", rf"[[^{WHITE}\p{{L}}\p{{N}}]||[{young}]]"), regex.V1)
         self.by_word, self.by_chunk = Memo(self.merge, MEMO), Memo(self.spell, MEMO)
@@ -99,7 +104,9 @@ class Codec:
     def normalize(self, text: str) -> str:
         if text.isascii():
             return text.lower()
-        text = _white.sub(" ", unicodedata.normalize("NFC", text))
+        # A mark that the tokenizer's tables lack orders and composes with nothing.
+        parts = self.marks.split(text) if self.marks.search(text) else (text,)
+        text = _white.sub(" ", "".join([unicodedata.normalize("NFC", p) for p in parts]))
         return text.replace("Σ", "σ").lower().translate(_capitals)  # each letter by itself: no final sigma
 
     def merge(self, word: str) -> array:

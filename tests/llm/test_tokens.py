@@ -93,6 +93,22 @@ def test_letters_that_are_younger_than_the_library():
         assert codec.encode(s) == lib.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_order_of_marks_that_are_younger_than_the_library(codec):
+    import unicodedata
+
+    lib = Tokenizer.from_file(WORDS)
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    young = [m for m in marks if codec.marks.match(m)]
+    one_each = {unicodedata.combining(m): m for m in marks if m not in young}.values()
+    texts = [t for y in young for m in one_each for t in (f"x{y}{m}", f"x{m}{y}", f"e{m}{y}\u0323{m}\u0301")]
+    texts += ["\u1ac6\u1aba", "\u0486\u1715", "\u08db\u0d3c", "\u0747\u1aca", "\u0ec8\u0eba", "\U00011935\U00011930", "\U00011938"]
+    random.seed(2)
+    texts += ["".join(random.choices([*marks, "a", "e"], k=8)) for _ in range(3000)]
+    texts += ["".join(random.choices([chr(c) for c in (*range(0xE00, 0xEE0), 0x300, 0x323)], k=12)) for _ in range(3000)]
+    wrong = [t for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True) if codec.encode(t) != e.ids]
+    assert not wrong
+
+
 def test_memo_holds_two_generations():
     calls = []
     m = bpe.Memo(lambda k: calls.append(k) or k.upper(), 3)
