@@ -111,26 +111,62 @@ def dictionary(more: tuple[str, ...] = ()) -> Words:
     return Words([*COMMON, *more])
 
 
+def _ranks(x: np.ndarray) -> list[np.ndarray]:
+    """For k = 0, 1, ..., the rank of the 2**k symbols that begin at each place among all of these, until all differ; a stretch that
+    the end cuts short comes before those it begins. The last is the order of the suffixes."""
+    n, out = len(x), [np.unique(x, return_inverse=True)[1].astype(np.int64)]
+    while out[-1].max(initial=0) < n - 1:
+        step, r = 1 << (len(out) - 1), out[-1]
+        after = np.zeros(n, np.int64)
+        after[: n - step] = r[step:] + 1
+        out.append(np.unique(r * (n + 1) + after, return_inverse=True)[1].astype(np.int64))
+    return out
+
+
+def _next_smaller(rank: np.ndarray) -> np.ndarray:
+    """For each place, the next one with a smaller rank, or the length."""
+    out, open_ = [len(rank)] * len(rank), []
+    for i, r in enumerate(rank.tolist()):
+        while open_ and open_[-1][0] > r:
+            out[open_.pop()[1]] = i
+        open_.append((r, i))
+    return np.array(out, np.int64)
+
+
+def _agree(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
+    """How many symbols agree from places i and j > i on, or up to them."""
+    n, total = len(ranks[0]), np.zeros(len(i), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        width = 1 << k
+        a, b = (i - total - width + 1, j - total - width + 1) if back else (i + total, j + total)
+        fits = (a >= 0) if back else (b + width <= n)
+        fits[fits] = ranks[k][a[fits]] == ranks[k][b[fits]]
+        total[fits] += width
+    return total
+
+
 def repeats(value: str) -> list[tuple[int, int, int]]:
     """(unit, first, end): stretches in which every character equals the one `unit` before it, a whole unit or more of them,
-    each as long as it goes; not those that a shorter unit, which divides it, explains.
+    each as long as it goes; not those that a shorter unit explains.
 
-    A stretch holds a multiple of its unit, so units are tried where some multiple agrees. Space is linear; time is that of
-    these units' comparisons.
+    These are a string's runs, of which there are fewer than characters. The unit of each begins somewhere as the longest Lyndon
+    word from a place on, in the order of the symbols or in its inverse; so each place gives two candidates, that
+    end before the next smaller suffix, and these are extended both ways by the ranks of stretches of 1, 2, 4, ... symbols. Time
+    and space grow as n log n.
     """
-    x = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-    x = x.astype(np.uint8) if len(x) and x.max() < 256 else x
-    n, found = len(x), []
-    for u in range(1, n // 2 + 1):
-        if not (x[u::u] == x[: n - u : u]).any() or any(u % v == 0 and a <= v and e == n for v, a, e in found):
-            continue
-        same = np.zeros(n - u + 2, np.int8)
-        same[1:-1] = x[u:] == x[:-u]
-        edges = np.flatnonzero(np.diff(same))
-        for a, e in zip((edges[::2] + u).tolist(), (edges[1::2] + u).tolist(), strict=True):
-            if e - a >= u and not any(u % v == 0 and b <= a + v - u and e <= f for v, b, f in found):
-                found.append((u, a, e))
-    return found
+    x = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(x) < 2:
+        return []
+    ranks, at = _ranks(x), np.arange(len(x))
+    found = []
+    for order in (ranks[-1], _ranks(-x)[-1]):
+        unit = _next_smaller(order) - at
+        i, u = at[at + unit < len(x)], unit[at + unit < len(x)]
+        right = _agree(ranks, i, i + u, False)
+        left = _agree(ranks, i - 1, i + u - 1, True)
+        keep = left + right >= u
+        found.append(np.stack([u, i + u - left, i + u + right], 1)[keep])
+    return list(map(tuple, np.unique(np.concatenate(found), axis=0).tolist()))
 
 
 def guess_cost(value: str, words: Words | None = None) -> float:

@@ -90,6 +90,34 @@ def test_repeats_are_maximal():
     assert secrets.repeats("xyzxyz") == [(3, 3, 6)] and secrets.repeats("abcd") == secrets.repeats("") == []
 
 
+def test_repeats_against_every_unit():
+    """Every stretch that equals itself one unit before, but those that a shorter unit explains."""
+    rng = np.random.default_rng(4)
+    for _ in range(1500):
+        v = "".join(rng.choice(list("abé"[: rng.integers(2, 4)]), rng.integers(0, 24)))
+        v = v[:9] * int(rng.integers(0, 3)) + v
+        want = []
+        for u in range(1, len(v)):
+            a = u
+            while a < len(v):
+                e = a
+                while e < len(v) and v[e] == v[e - u]:
+                    e += 1
+                if e - a >= u and not any(u % w == 0 and b <= a + w - u and e <= f for w, b, f in want):
+                    want.append((u, a, e))
+                a = e + 1
+        assert sorted(secrets.repeats(v)) == sorted(want), v
+
+
+def test_two_symbols_cost_linear_time():
+    import time
+
+    bits = "".join(np.random.default_rng(5).choice(["0", "1"], 100_000))
+    began = time.process_time()
+    secrets.guess_cost(bits)
+    assert time.process_time() - began < 15  # it takes two seconds; comparing all units takes minutes
+
+
 def test_very_long_values_end():
     import time
 
