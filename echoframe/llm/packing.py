@@ -27,7 +27,7 @@ from . import common
 #: The longest sequence, and the id that ends a document.
 SIZE, END = 1024, 2
 #: Stretches that a process remembers the ids of; pieces of a length that are ranked in one task, about.
-MEMO, SHARD = 300_000, 100_000
+MEMO, SHARD = 300_000, 2_000
 #: Documents that are tokenized at a time.
 ROWS = 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -273,13 +273,13 @@ def pack_pieces(cut_: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to the rows of pieces(). `cut_` is read three times, so it should be a written table.
 
     The driver gets one count for each length and sends the plan's patterns, whose number the lengths bound. A
-    length that a third of all pieces share is ranked in as many shards as its count asks for.
+    length that a third of all pieces share is ranked in as many shards as its count asks for. Between them stands one row for each shard.
     """
     spark = cut_.sparkSession
     counts = {r.length: r.n for r in cut_.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
     places = spark.sparkContext.broadcast(Places.of(plan(counts, size)))
-    shards = -(-max(counts.values(), default=1) // SHARD)
-    cut_ = cut_.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    shards = F.array(*(F.lit(-(-counts.get(n, 1) // SHARD)) for n in range(size + 1)))
+    cut_ = cut_.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(shards, F.col("length").cast("int"))))
     # Ranks in two levels: within a shard of a length, and over the shards of a length.
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = cut_.groupBy("length", "shard").agg(F.count("*").alias("n")).select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
