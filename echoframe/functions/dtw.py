@@ -45,6 +45,106 @@ def kernel(a: np.ndarray, b: np.ndarray, band: float = 0.0) -> np.ndarray:
     return above[lb]
 
 
+def frame_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all frames of two lists, [m, D] and [n, D]. Few dimensions are summed one after the other; many by
+    a matrix product, after which what it leaves near zero, where it would round, is computed from the differences."""
+    if a.shape[1] < 8:
+        out, x = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+        for d in range(a.shape[1]):
+            np.subtract.outer(a[:, d], b[:, d], out=x)
+            np.multiply(x, x, out=x)
+            out += x
+        return np.sqrt(out, out=out)
+    sizes = np.add.outer(np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b))
+    out = sizes - 2 * (a @ b.T)
+    i, j = np.nonzero(out < 1e-5 * sizes)
+    for k in range(0, len(i), 10_000):
+        x = a[i[k : k + 10_000]] - b[j[k : k + 10_000]]
+        out[i[k : k + 10_000], j[k : k + 10_000]] = np.einsum("ij,ij->i", x, x)
+    return np.sqrt(out, out=out)
+
+
+def recur(cost: np.ndarray) -> np.ndarray:
+    """Unnormalised costs from frame distances [La, Lb, n]; the distances are overwritten."""
+    la, lb, n = cost.shape
+    above = None
+    for i in range(la):
+        row = cost[i]
+        for j in range(lb):
+            d = row[j]
+            if i == 0:
+                if j:
+                    d += row[j - 1]
+                continue
+            best = above[j] if j == 0 else np.minimum(np.minimum(last + d, above[j]), row[j - 1])  # noqa: F821  `last` is the row above, one place back
+            last = above[j]
+            d += best
+        above = row
+    return above[lb - 1]
+
+
+class Bounds:
+    """Lower bounds of symmetric-2 costs. A path enters every row and every column once at least, and pays the distance where
+    it does (the first cell counts for its row or its column alone), so a cost is at least the sum of each frame's distance
+    to the other clip, the first frame of one side left out; and a frame is no nearer to a clip than to the balls
+    around its segments."""
+
+    def __init__(self, clips: list[np.ndarray], segment: int = 4):
+        self.length = np.array([len(c) for c in clips])
+        self.frames = np.concatenate(clips)
+        self.start = np.cumsum(self.length) - self.length
+        cuts = np.array([s + k for s, n in zip(self.start, self.length, strict=True) for k in range(0, n, segment)])
+        sizes = np.diff([*cuts, len(self.frames)])
+        self.centre = np.add.reduceat(self.frames, cuts, axis=0) / sizes[:, None]
+        away = self.frames - np.repeat(self.centre, sizes, axis=0)
+        self.radius = np.maximum.reduceat(np.sqrt(np.einsum("ij,ij->i", away, away)), cuts)
+        self.first = np.searchsorted(cuts, self.start)
+        #: What rounding can make of a distance, relative to the numbers' size.
+        self.slack = 1e-7 * np.abs(self.frames).max(initial=0) * self.frames.shape[1] ** 0.5
+
+    def to(self, other: Bounds) -> np.ndarray:
+        """[frames of self, clips of other]: the least distance of a frame to a clip's balls."""
+        d = frame_distances(self.frames, other.centre) - (other.radius + self.slack + other.slack)
+        return np.minimum.reduceat(np.maximum(d, 0, out=d), other.first, axis=1)
+
+    def distances(self, other: Bounds, norm: str = "mean_length") -> np.ndarray:
+        """[clips of self, clips of other]: bounds of the distances."""
+        a, b = self.to(other), other.to(self)
+        raw = np.add.reduceat(a, self.start, axis=0) + np.add.reduceat(b, other.start, axis=0).T - np.minimum(a[self.start], b[other.start].T)
+        return NORMS[norm](raw, self.length[:, None], other.length[None])
+
+
+def cross(left: list[np.ndarray], right: list[np.ndarray], needed: np.ndarray | None = None, method: str = "symmetric2", norm: str = "mean_length") -> np.ndarray:
+    """The matrix of distances of two lists of clips. Clips of one length are taken together, so frame distances are one
+    array for each pair of lengths; where `needed` is given, lengths are narrowed to the clips that it has, and
+    the rest of the matrix is inf."""
+    for name, known in ((method, METHODS), (norm, NORMS)):
+        if name not in known:
+            raise ValueError(f"{name!r} is not one of {sorted(known)}")
+    la, lb = np.array([len(c) for c in left]), np.array([len(c) for c in right])
+    if (la == 0).any() or (lb == 0).any():
+        raise ValueError("clips must have a frame at least")
+    out = np.full((len(la), len(lb)), np.inf)
+    for m in np.unique(la):
+        rows = np.flatnonzero(la == m)
+        for n in np.unique(lb):
+            columns = np.flatnonzero(lb == n)
+            x, y = rows, columns
+            if needed is not None:
+                part = needed[np.ix_(rows, columns)]
+                x, y = rows[part.any(1)], columns[part.any(0)]
+            if not len(x) or not len(y):
+                continue
+            b = np.concatenate([right[j] for j in y])
+            step = max(1, CELLS // (m * len(b)))
+            for k in range(0, len(x), step):
+                some = x[k : k + step]
+                d = frame_distances(np.concatenate([left[i] for i in some]), b)
+                cost = np.ascontiguousarray(d.reshape(len(some), m, len(y), n).transpose(1, 3, 0, 2)).reshape(m, n, -1)
+                out[np.ix_(some, y)] = NORMS[norm](recur(cost), m, n).reshape(len(some), len(y))
+    return out
+
+
 def mean_length(raw, la, lb):
     return raw / ((la + lb) / 2.0)
 

@@ -56,7 +56,7 @@ def against_pool(queries: DataFrame, corpus: DataFrame, target: DataFrame, ks: l
         raise ValueError(f"{missing} queries are not in the neighbour table")
     ids = queries.select("clip_idx")
     rows, columns = queries.count(), corpus.count()
-    model = topk.cosine_topk(corpus, max([*ks, need])).join(ids, "clip_idx", "left_semi").persist()
+    model = topk.cosine_against(queries, corpus, max([*ks, need])).persist()
     _require_neighbours(model, queries, need)
     table = target.join(ids, "clip_idx", "left_semi").persist()
     out = _recalls(model, table, queries, ks, min(relevance, width), f"{prefix}_")

@@ -4,49 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dtw, pooling
 from ..functions.transforms import design as by_name
+from . import cells
+from .best import EDGES, best
+from .best import k_best as _k_best
+from .best import table as _table
 from .blocks import ROWS, block_pairs, n_blocks
 
-EDGES = "clip_idx long, neighbor_idx long, sim double"
-
-
-def best(edges: DataFrame, k: int, by: str = "clip_idx", other: str = "neighbor_idx", sim: str = "sim", digits: int | None = 9) -> DataFrame:
-    """The k best rows of each key with their rank, ties to the smaller id. Similarities that agree to `digits`
-    places are ties. The rank filter is applied before the shuffle as well as after."""
-    if k < 1:
-        raise ValueError("k must be 1 or more")
-    value = F.col(sim) if digits is None else F.round(sim, digits)
-    order = Window.partitionBy(by).orderBy(value.desc(), F.col(other))
-    return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
 
 def mirror(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("neighbor_idx").alias("clip_idx"), F.col("clip_idx").alias("neighbor_idx"), "sim"))
 
 
-def _k_best(ids: np.ndarray, others: np.ndarray, sim: np.ndarray, k: int) -> list[tuple]:
-    """Rows (id, other, sim) of the k largest in each row of a matrix, ties to the smaller id; -inf is absent."""
-    out = []
-    for i, row in zip(ids, sim, strict=True):
-        top = np.lexsort((others, -np.round(row, 9)))[:k]
-        out += [(int(i), int(others[j]), float(row[j])) for j in top if row[j] > -np.inf]
-    return out
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["clip_idx", "neighbor_idx", "sim"])
-
-
 def _both_sides(left_ids, right_ids, sim, same: bool, k: int) -> pa.Table:
     if same:
         sim = np.where(left_ids[:, None] == right_ids[None], -np.inf, sim)
-        return _table(_k_best(left_ids, right_ids, sim, k))
-    return _table(_k_best(left_ids, right_ids, sim, k) + _k_best(right_ids, left_ids, sim.T, k))
+        return _k_best(left_ids, right_ids, sim, k)
+    return pa.concat_tables([_k_best(left_ids, right_ids, sim, k), _k_best(right_ids, left_ids, sim.T, k)])
 
 
 def _frames(column) -> list[np.ndarray]:
@@ -59,12 +37,7 @@ def dtw_topk(clips: DataFrame, k: int, method: str = "symmetric2", norm: str = "
     def run(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         if same:
             right = left
-        a, b = _frames(left["frames"]), _frames(right["frames"])
-        x, y = np.triu_indices(len(a), 1) if same else (i.ravel() for i in np.indices((len(a), len(b))))
-        sim = np.full((len(a), len(b)), -np.inf)
-        sim[x, y] = -dtw.distances(a, b, (x, y), method, norm)
-        if same:
-            sim[y, x] = sim[x, y]
+        sim = -dtw.cross(_frames(left["frames"]), _frames(right["frames"]), None, method, norm)
         return _both_sides(left["clip_idx"].to_numpy(), right["clip_idx"].to_numpy(), sim, same, k)
 
     return ranked(block_pairs(clips.select("clip_idx", "frames"), "clip_idx", run, EDGES, rows), k)
@@ -82,12 +55,7 @@ def dtw_topk_with_train(clips: DataFrame, train: DataFrame, k: int, method: str
     def run(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         if same:
             right = left
-        a, b = _frames(left["frames"]), _frames(right["frames"])
-        x, y = np.triu_indices(len(a), 1) if same else (i.ravel() for i in np.indices((len(a), len(b))))
-        sim = np.full((len(a), len(b)), -np.inf)
-        sim[x, y] = -dtw.distances(a, b, (x, y), method, norm)
-        if same:
-            sim[y, x] = sim[x, y]
+        sim = -dtw.cross(_frames(left["frames"]), _frames(right["frames"]), None, method, norm)
         ids = left["clip_idx"].to_numpy(), right["clip_idx"].to_numpy()
         both = left["t"].to_numpy()[:, None] & right["t"].to_numpy()[None]
         tables = [_both_sides(*ids, np.where(keep, sim, -np.inf), same, k) for keep in (True, both)]
@@ -126,7 +94,7 @@ def _dtw_pairs_by_block(pairs: DataFrame, clips: DataFrame, n: int, method: str,
 
     def run(pairs: pa.Table, clips: pa.Table) -> pa.Table:
         if not len(pairs):
-            return _table([])
+            return _table([], [], [])
         ids, once = np.unique(clips["clip_idx"].to_numpy(), return_index=True)
         a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
         known = np.isin(a, ids) & np.isin(b, ids)
@@ -153,11 +121,10 @@ def dtw_against(queries: DataFrame, corpus: DataFrame, k: int, rows: int = ROWS)
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
         if not len(q) or not len(c):
-            return _table([])
-        a, b = _frames(q["qf"]), _frames(c["frames"])
-        sim = -dtw.distances(a, b, tuple(i.ravel() for i in np.indices((len(a), len(b))))).reshape(len(a), len(b))
+            return _table([], [], [])
+        sim = -dtw.cross(_frames(q["qf"]), _frames(c["frames"]))
         qi, ci = q["q"].to_numpy(), c["clip_idx"].to_numpy()
-        return _table(_k_best(qi, ci, np.where(qi[:, None] == ci[None], -np.inf, sim), k))
+        return _k_best(qi, ci, np.where(qi[:, None] == ci[None], -np.inf, sim), k)
 
     return ranked(asked.groupBy("qi", "qj").cogroup(there.groupBy("i", "j")).applyInArrow(run, EDGES), k)
 
@@ -175,10 +142,19 @@ def cosine_topk(vectors: DataFrame, k: int, vector: str = "z", rows: int = 4 * R
     return best(block_pairs(vectors.select("clip_idx", vector), "clip_idx", run, EDGES, rows), k).select("clip_idx", "rank", "neighbor_idx", "sim")
 
 
-def filtered_topk(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats4", width: int | None = None, dim: int | None = None) -> DataFrame:
-    """Neighbours by filter and refine: pooled vectors choose `candidate_k` candidates by cosine, exact distances rank them."""
+cosine_against = cells.against
+
+#: Candidate searches by name: each takes vectors (clip_idx, z) and k.
+INDEXES = {"exhaustive": cosine_topk, "cells": cells.cell_topk}
+
+
+def filtered_topk(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats4", width: int | None = None, dim: int | None = None, index: str = "exhaustive") -> DataFrame:
+    """Neighbours by filter and refine: pooled vectors choose `candidate_k` candidates by cosine, through the index that is
+    named, and exact distances rank them."""
+    if index not in INDEXES:
+        raise ValueError(f"{index!r} is not one of {sorted(INDEXES)}")
     pooled = clips.select("clip_idx", arrays.l2_normalize(pooling.pool(F.col("frames"), kind, width, dim)).alias("z"))
-    return ranked(dtw_pairs(cosine_topk(pooled, candidate_k), clips, per_clip=candidate_k), k)
+    return ranked(dtw_pairs(INDEXES[index](pooled, candidate_k), clips, per_clip=candidate_k), k)
 
 
 def build(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats4", design: str = "abs_21j_coords", width: int | None = None, dim: int | None = None) -> tuple[DataFrame, dict]:

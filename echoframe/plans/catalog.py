@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dtw, pooling, transforms
-from ..operators import losses, metrics, model, sampler, topk
+from ..operators import cells, losses, metrics, mining, model, pruned, sampler, topk
 from ..sources import clips as src
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -253,6 +254,28 @@ def dtw_topk(spark, d):
     return _edges(topk.dtw_topk(src.embedding_clips(spark, d), K))
 
 
+@query(SQL["dtw_topk"])
+def dtw_topk_pruned(spark, d):
+    """The same by blocks of like clips, thresholds and lower bounds."""
+    return _edges(pruned.dtw_topk_pruned(src.embedding_clips(spark, d), K)[0])
+
+
+@query()
+def dtw_pruning(spark, d):
+    """What blocks, thresholds and bounds leave to compute, over clips in groups: each event user's windows of 16 values in order."""
+    return pruned.dtw_topk_pruned(_walks(spark, d), 5)[1]
+
+
+def _walks(spark, d):
+    """Clips of three dimensions: windows of 16 events of a user, with the running sum of values, the value and the user's level."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value")
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    e = e.withColumns({"n": F.row_number().over(order) - 1, "total": F.sum("value").over(order)})
+    frame = F.struct("n", F.array(F.col("total") / 10.0, F.col("value") / 100.0, (F.col("user_id") % 7) * 50.0).alias("x"))
+    c = e.groupBy("user_id", F.expr("n div 16").alias("w")).agg(F.sort_array(F.collect_list(frame)).alias("f"))
+    return c.select((F.col("user_id") * 1000 + F.col("w")).alias("clip_idx"), F.transform("f", lambda x: x["x"]).alias("frames"))
+
+
 _BATCH_PAIRS = ALL_PAIRS + " AND a.clip_idx // 25 = b.clip_idx // 25"
 
 
@@ -281,6 +304,20 @@ def cosine_topk(spark, d):
     return _edges(topk.cosine_topk(src.embedding_clips(spark, d), K), "sim")
 
 
+@query(SQL["cosine_topk"])
+def cosine_cells(spark, d):
+    """The same through the inverted file, with every cell probed."""
+    return _edges(cells.cell_topk(src.embedding_clips(spark, d).select("clip_idx", "z"), K, probes=1 << 30), "sim")
+
+
+@query()
+def cell_recall(spark, d):
+    """How many of the 20 nearest the inverted file finds with the probes that it chooses for a recall of 0.97."""
+    v = src.embedding_clips(spark, d).select("clip_idx", "z")
+    s = topk.sanity_check(cells.cell_topk(v, K), topk.cosine_topk(v, K), K)
+    return s.select(*(r(x).alias(x) for x in ("mean", "min", "max")))
+
+
 _POOLED = f"""pooled AS (SELECT clip_idx, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS z FROM (SELECT clip_idx, list_concat({_MEAN}, {_STD}, frames[1], frames[len]) AS v FROM clips)),
 near AS (SELECT a.clip_idx i, b.clip_idx j, list_dot_product(a.z, b.z) AS sim FROM pooled a JOIN pooled b ON a.clip_idx <> b.clip_idx), {sql_top('chosen', 'near', 50)}"""
 _REFINE = "SELECT a.clip_idx i, b.clip_idx j, a.len la, b.len lb, a.frames fa, b.frames fb FROM chosen x JOIN clips a ON a.clip_idx = x.clip_idx JOIN clips b ON b.clip_idx = x.neighbor_idx"
@@ -292,6 +329,12 @@ def dtw_filter_and_refine(spark, d):
     return _edges(topk.filtered_topk(src.embedding_clips(spark, d), K, 50))
 
 
+@query()
+def dtw_cells_and_refine(spark, d):
+    """Filter and refine with candidates from the inverted file."""
+    return _edges(topk.filtered_topk(src.embedding_clips(spark, d), K, 50, index="cells"))
+
+
 @query(f"""WITH {CLIPS}, {_FILTERED}, exact_pairs AS ({ALL_PAIRS}), {sql_dtw_edges(K, name='exact').replace('pairs AS (', 'pairs2 AS (', 1).replace('FROM pairs)', 'FROM pairs2)').replace('costs AS', 'costs2 AS').replace('FROM costs)', 'FROM costs2)').replace('lasts AS', 'lasts2 AS').replace('FROM lasts)', 'FROM lasts2)').replace('dtw AS', 'dtw2 AS').replace('FROM dtw', 'FROM dtw2')},
 per AS (SELECT e.clip_idx, count(f.clip_idx) / count(*) AS recall FROM exact e LEFT JOIN refined f ON e.clip_idx = f.clip_idx AND e.neighbor_idx = f.neighbor_idx GROUP BY 1)
 SELECT round(avg(recall), 6) AS mean, round(min(recall), 6) AS min, round(max(recall), 6) AS max FROM per""")
@@ -394,7 +437,7 @@ SELECT round(CASE WHEN aa.h > 0 AND bb.h > 0 THEN greatest(-1, least(1, ab.h / s
 def pool_cknna(spark, d):
     """Held-out queries against all clips."""
     c, _, held = _split(spark, d)
-    edges = topk.cosine_topk(c, 10).join(held.select("clip_idx"), "clip_idx", "left_semi").persist()
+    edges = topk.cosine_against(held, c, 10).persist()
     return metrics.pool_cknna(edges, topk.dtw_against(held, c, 10).persist(), 10, held.count(), c.count()).select(r("cknna").alias("cknna"))
 
 
@@ -490,8 +533,19 @@ def mined_boundaries(spark, d):
 
 @query()
 def mined_batches(spark, d):
+    return _mined(spark, d).batches
+
+
+def _mined(spark, d):
+    c, train, _ = _split(spark, d)
+    return mining.mine(topk.dtw_topk(c, K), c, train, [0, 1], seed=SEED, batch_size=40, positives=3)
+
+
+@query()
+def mining_counters(spark, d):
+    """Batches, pads, skipped and left anchors of two epochs of set-and-rank groups."""
     c, train, _ = _split(spark, d)
-    return sampler.mine(topk.dtw_topk(c, K), c, train, [0, 1], batch_size=40, positives=3, seed=SEED)
+    return mining.mine(topk.dtw_topk(c, K), c, train, [0, 1], seed=SEED, batch_size=40, positives=2, boundaries=2, other_video=True).counters
 
 
 @query(f"""WITH {CLIPS}, {sql_dtw_edges(K)}, m AS (SELECT clip_idx // 10 AS batch, clip_idx AS anchor, 0 AS slot, 'anchor' AS role, clip_idx AS c FROM clips

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echoframe.operators import losses, metrics, model, sampler, topk
+from echoframe.operators import cells, losses, metrics, model, pruned, sampler, topk
 from echoframe.functions import dtw as dtw_
 
 
@@ -233,52 +233,6 @@ def test_set_rank_needs_cached_candidates(spark):
         losses.set_rank(members, sims, cache([(0, 1, 1, -0.1)]), 1, 1).collect()
 
 
-def ring(n, k):
-    return {i: [(i + d + 1) % n for d in range(k)] for i in range(n)}
-
-
-def test_miner_invariants():
-    m = sampler.Miner(ring(50, 10), {i: i // 5 for i in range(50)}, list(range(40)), 12, 3, seed=1)
-    batches = list(m)
-    assert len(batches) <= len(m) == 13
-    for b in batches:
-        assert len(b) == 12 and len(set(b)) == 12 and max(b) < 40
-    assert list(m) == batches
-    m.set_epoch(1)
-    assert list(m) != batches
-
-
-def test_miner_other_video_and_drop():
-    near = ring(20, 4)
-    m = sampler.Miner(near, {i: 0 for i in range(20)}, list(range(20)), 4, 3, other_video=True, pad_policy="drop_anchor")
-    assert list(m) == [] and m.pads > 0
-
-
-def test_miner_ranges():
-    near = ring(60, 20)
-    m = sampler.Miner(near, {i: i for i in range(60)}, list(range(60)), 8, 2, 1, seed=3)
-    for b in m:
-        for k in range(0, 8, 4):
-            a, p, q, x = b[k : k + 4]
-            assert p in near[a][:10] and q in near[a][:10] and x in near[a][10:]
-
-
-@pytest.mark.parametrize("bad", [{"positives": 0}, {"batch_size": 7}, {"pad_policy": "other"}, {"boundaries": 1, "positive_end": 11}])
-def test_miner_validation(bad):
-    kw = {"batch_size": 8, "positives": 3, "boundaries": 0} | bad
-    with pytest.raises(ValueError):
-        sampler.Miner(ring(10, 5), {i: i for i in range(10)}, list(range(10)), **kw)
-
-
-def test_mining_density_beats_random(spark):
-    n, k = 400, 3
-    rows = [(i, r + 1, j) for i in range(n) for r, j in enumerate(j for j in range(i - i % 4, i - i % 4 + 4) if j != i)]
-    e = spark.createDataFrame(rows, "clip_idx long, rank int, neighbor_idx long")
-    c = spark.range(n).select(F.col("id").alias("clip_idx"), F.col("id").cast("int").alias("video_number"))
-    batches = sampler.mine(e, c, c, [0], batch_size=40, positives=3)
-    assert sampler.density(batches, e, k).first().density >= 3.0
-
-
 def test_split_sizes(spark):
     c = spark.range(100).withColumnRenamed("id", "clip_idx")
     train, held = sampler.split(c, 0.13, 1)
@@ -327,3 +281,79 @@ def test_weights_round_trip(tmp_path):
     model.save_weights(str(tmp_path / "w.npz"), w)
     back = model.load_weights(str(tmp_path / "w.npz"))
     assert set(back) == set(w) and all(np.array_equal(back[k], w[k]) for k in w)
+
+
+def walks(spark, groups=8, each=30, d=3, seed=4):
+    """Clips in groups that lie apart, of 3 to 20 frames."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        base = 40 * rng.normal(size=d) + np.cumsum(rng.normal(size=(20, d)), 0)
+        rows += [(g * each + i, (base[: rng.integers(3, 21)] + 0.3 * rng.normal(size=d)).tolist()) for i in range(each)]
+    rows += [(10_000, rows[0][1]), (10_001, rows[0][1])]  # equal clips tie
+    return rows, spark.createDataFrame(rows, "clip_idx long, frames array<array<double>>")
+
+
+@pytest.mark.parametrize("d", [3, 12])
+def test_cross_and_bounds(d):
+    rng = np.random.default_rng(d)
+    a, b = ([rng.normal(size=(int(rng.integers(1, 9)), d)) for _ in range(n)] for n in (20, 17))
+    b[3] = a[2].copy()
+    x, y = (i.ravel() for i in np.indices((20, 17)))
+    for norm in dtw_.NORMS:
+        want = dtw_.distances(a, b, (x, y), norm=norm).reshape(20, 17)
+        assert np.allclose(dtw_.cross(a, b, norm=norm), want, atol=1e-9) and dtw_.cross(a, b)[2, 3] == 0
+        bound = dtw_.Bounds(a, 3).distances(dtw_.Bounds(b, 3), norm)
+        assert (bound <= want).all() and bound.max() > 0
+    needed = rng.random((20, 17)) < 0.1
+    assert np.allclose(dtw_.cross(a, b, needed)[needed], dtw_.cross(a, b)[needed])
+    with pytest.raises(ValueError):
+        dtw_.cross([np.zeros((0, d))], b)
+    with pytest.raises(ValueError):
+        dtw_.cross(a, b, norm="other")
+
+
+@pytest.mark.parametrize(("rows", "n_cells"), [(16, 9), (512, None), (7, 1)])
+def test_pruned_table_is_the_exact_one(spark, rows, n_cells):
+    _, df = walks(spark)
+    got, report = pruned.dtw_topk_pruned(df, 4, n_cells=n_cells, rows=rows)
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(tuple(r)[:3] for r in topk.dtw_topk(df, 4).collect())
+    r = report.first()
+    assert r.clip_pairs == 242 * 241 // 2 and r.clip_pairs_within <= r.clip_pairs
+    if rows == 16:
+        assert r.pruned_share > 0.7 and r.block_pairs_met < r.block_pairs
+    few, _ = pruned.dtw_topk_pruned(df.limit(3), 4)
+    assert few.count() == 6 and pruned.dtw_topk_pruned(df.limit(1), 4)[0].count() == 0
+
+
+def test_cells(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    z = centres[rng.integers(0, 12, 600)] + 0.25 * rng.normal(size=(600, 8))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    z[500:] = z[500]  # many rows of one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "clip_idx long, z array<double>")
+    exact = topk.cosine_topk(df, 5)
+    everywhere = cells.cell_topk(df, 5, n_cells=12, probes=99, rows=50)
+    assert sorted(tuple(r)[:3] for r in everywhere.collect()) == sorted(tuple(r)[:3] for r in exact.collect())
+    some = cells.cell_topk(df, 5, n_cells=12, rows=50)
+    near = topk.sanity_check(some.where("clip_idx < 500"), exact.where("clip_idx < 500"), 5).first()
+    assert near["mean"] >= 0.95
+    dealt = cells.assign(df, cells.fit(df, 12), 12)
+    assert cells.probes_for(dealt, 5) < 12 and cells.probes_for(dealt, 5, 1.0) >= cells.probes_for(dealt, 5, 0.5)
+    assert cells.cell_topk(df.limit(0), 5).count() == 0 and cells.cell_topk(df.limit(1), 5).count() == 0
+    with pytest.raises(ValueError):
+        topk.filtered_topk(df, 1, 1, index="other")
+
+
+def test_cells_feed_filter_and_refine(spark):
+    _, df = walks(spark)
+    exact, found = topk.dtw_topk(df, 5), topk.filtered_topk(df, 5, 40, index="cells")
+    assert topk.sanity_check(found, exact, 5).first()["mean"] >= 0.9
+
+
+def test_cosine_against_leaves_queries_alone(spark):
+    rows, df = clips_df(spark, 30)
+    got = topk.cosine_against(df.where("clip_idx < 5"), df, 4, rows=7)
+    want = topk.cosine_topk(df, 4).where("clip_idx < 5")
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(tuple(r)[:3] for r in want.collect())
