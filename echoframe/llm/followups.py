@@ -35,7 +35,7 @@ END = FAR - DELAY
 CLICK, SALE, MARKER = 0, 1, 2
 #: Events in an element of the list.
 CHUNK = 10_000
-EVENTS = "client_id long, kind int, us long"
+EVENTS = "client_id long, kind int, us long, ends boolean"
 ALERTS = "client_id long, opened_us long, due_us long, n_rows long"
 
 
@@ -56,11 +56,18 @@ def batch_of(df: DataFrame, arrived: str, key: str) -> Column:
 
 
 def events(clicks: DataFrame, sales: DataFrame) -> DataFrame:
-    """(client_id, kind, us, batch): error clicks, rows that are equal in all columns once, and sales, both with client and time."""
+    """(client_id, kind, us, ends, batch): error clicks, rows that are equal in all columns once, and sales, both with client and
+    time. `ends` is false for sales that can end nothing: those with no error click of their client on their day or the day
+    before, in any batch, found by an equi-join on client and day."""
+    day = F.floor(F.col("us") / OPEN)  # an obligation reaches into the next day and no further
     c = clicks.where("kind = 'error'").dropDuplicates()
     c = c.select(F.col("client_id").cast("long").alias("client_id"), F.lit(CLICK).alias("kind"), micros(c, "ts").alias("us"), batch_of(c, "arrived_at", "click_id").alias("batch"))
+    c = c.where("client_id IS NOT NULL AND us IS NOT NULL")
     s = sales.select(F.col("client_id").cast("long").alias("client_id"), F.lit(SALE).alias("kind"), micros(sales, "sold_at").alias("us"), batch_of(sales, "arrived_at", "sale_id").alias("batch"))
-    return c.unionByName(s).where("client_id IS NOT NULL AND us IS NOT NULL")
+    s = s.where("client_id IS NOT NULL AND us IS NOT NULL")
+    days = c.select("client_id", F.explode(F.array(day, day + 1)).alias("day")).distinct().withColumn("ends", F.lit(True))
+    s = s.withColumn("day", day).join(days, ["client_id", "day"], "left").withColumn("ends", F.coalesce("ends", F.lit(False)))
+    return c.withColumn("ends", F.lit(True)).unionByName(s.drop("day"))
 
 
 class FollowUps(StatefulProcessor):
@@ -178,6 +185,9 @@ def alerts(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     every batch has a marker row, which is no event. Two starts follow the last batch, the second with the watermark
     at the end of the clock, and what they tell is batch 8.
 
+    Sales that can end nothing move the watermark and are counted where they are late; of the others they are left out before the
+    state, where each call costs more than the join that tells them apart.
+
     Rows without client or time are no events; nor are clicks of another kind or none. Click rows that repeat in all
     columns count once, sales each time. Empty tables give no rows, extra columns are not read, except
     that they tell click rows apart. Times are told apart from 1900 to 2191; what is earlier or later is as at the clock's end.
@@ -190,13 +200,17 @@ def alerts(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     common.ship(spark)
     own = _session(spark)
     folder = f"{common.shared_dir(spark)}/followups-{uuid.uuid4().hex}"
-    marker = spark.range(BATCHES + 2).select(F.lit(0).cast("long").alias("client_id"), F.lit(MARKER).alias("kind"), F.when(F.col("id") == BATCHES, F.lit(EPOCH + FAR)).otherwise(F.lit(EPOCH)).alias("us"), F.col("id").cast("int").alias("batch"))
+    marker = spark.range(BATCHES + 2).select(F.lit(0).cast("long").alias("client_id"), F.lit(MARKER).alias("kind"), F.when(F.col("id") == BATCHES, F.lit(EPOCH + FAR)).otherwise(F.lit(EPOCH)).alias("us"), F.lit(True).alias("ends"), F.col("id").cast("int").alias("batch"))
     events(clicks, sales).unionByName(marker).write.partitionBy("batch").parquet(f"{folder}/in")
+    clock = F.least(F.greatest(F.col("us") - EPOCH, F.lit(0)), F.lit(FAR))
+    latest = {r.batch: r.at for r in spark.read.schema(f"{EVENTS}, batch int").parquet(f"{folder}/in").groupBy("batch").agg(F.max(clock).alias("at")).collect()}  # a row for each batch
     for b in range(BATCHES + 2):
+        mark = max([latest[x] for x in range(b)], default=0) - DELAY
         # The files of this batch are new to the checkpoint; those of earlier ones it has seen.
         arrived = own.readStream.schema(EVENTS).parquet(f"{folder}/in/batch={{{','.join(map(str, range(b + 1)))}}}")
-        clock = F.least(F.greatest(F.col("us") - EPOCH, F.lit(0)), F.lit(FAR))
-        timed = arrived.withColumn("clock", F.timestamp_millis(clock)).withWatermark("clock", f"{DELAY // 1000} seconds").select("client_id", "kind", "us")
+        timed = arrived.withColumn("clock", F.timestamp_millis(clock)).withWatermark("clock", f"{DELAY // 1000} seconds")
+        # The condition names the clock, so it stays behind the watermark, which all events move.
+        timed = timed.where(F.col("ends") | (F.unix_millis("clock") < mark)).select("client_id", "kind", "us")
         told = timed.groupBy("client_id").transformWithStateInPandas(FollowUps(), ALERTS, "Append", "EventTime")
         out = told.withColumn("batch", F.lit(min(b, BATCHES)))
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
