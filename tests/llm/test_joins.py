@@ -409,3 +409,39 @@ def test_local_copies_leave_one_window_of_each_kind():
     copies, first = substring_dedup.local_copies(w)
     # The second window of document 0 stays, as do other tags, other extents and other groups.
     assert copies.tolist() == [2] and first.tolist() == [0]
+
+
+def crowd(n, words, edits, plain, seed):
+    """Documents that hold a passage of `words` words, each with `edits` other words of its own (one with none, if `plain`), in
+    text that nothing shares; and the pairs whose passages are alike, of all."""
+    rng = np.random.default_rng(seed)
+    texts, at = [], []
+    for k in range(n):
+        passage = [f"p{seed}w{i}" for i in range(words)]
+        for e in rng.choice(words, edits, replace=False) if k or not plain else ():
+            passage[e] = f"x{seed}k{k}e{e}"
+        before, after = ([f"r{seed}k{k}{s}{i}" for i in range(int(rng.integers(5, 60)))] for s in "ab")
+        texts.append(" ".join(before + passage + after))
+        at.append(len(before))
+    seqs = [substring_dedup.shingle_sequence(t)[max(0, a - 4) : a + words] for t, a in zip(texts, at, strict=True)]
+    return texts, [(i, j) for i in range(n) for j in range(i) if len(seqs[i]) == len(seqs[j]) and substring_dedup.verify(seqs[i], seqs[j])]
+
+
+def test_crowds_of_edited_copies_are_linked(docs):
+    """Of the pairs that are alike, all but a few are in one component, also where no member is alike to all."""
+    rows, pairs = [], []
+    for seed, kind in enumerate([(40, 50, 1, False), (200, 50, 1, False), (400, 50, 1, False), (200, 50, 1, True), (200, 70, 3, False), (200, 100, 3, False)]):
+        texts, alike = crowd(*kind, seed)
+        pairs.append([(len(rows) + i, len(rows) + j) for i, j in alike])
+        rows += list(enumerate(texts, len(rows)))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in substring_dedup.passages(docs(rows)).collect():
+        parent[root(r.doc_id)] = root(r.partner_id)
+    for alike in pairs:
+        assert sum(root(i) == root(j) for i, j in alike) >= 0.95 * len(alike)
