@@ -30,8 +30,8 @@ def build_clips(spark, a) -> None:
 
 def build_neighbors(spark, a) -> None:
     table, _ = artifacts.read(spark, a.clips, design=a.design)
-    edges, meta = topk.build(table, a.top_k, a.candidate_k, a.pooling, a.design)
-    artifacts.write(edges, a.out, meta)
+    edges, meta = topk.build(table, a.top_k, a.candidate_k, a.pooling, a.design, index=a.index)
+    artifacts.write(edges, a.out, meta, a.partition_by)
     if a.sanity_check:
         # A sample of queries against all clips; the built table's rows of these.
         queries = sampler.sample(table, a.sanity_queries, a.seed)
@@ -40,8 +40,14 @@ def build_neighbors(spark, a) -> None:
 
 
 def run_evaluation(spark, a) -> None:
-    target, _ = artifacts.read(spark, a.neighbors)
-    values = evaluate.in_set(spark.read.parquet(a.embeddings), target, a.recall_k, a.cknna_topk)
+    want = {"design": a.design} if a.design else {}
+    target, _ = artifacts.read(spark, a.neighbors, **want)
+    vectors = spark.read.parquet(a.embeddings)
+    values = evaluate.in_set(vectors, target, a.recall_k, a.cknna_topk)
+    for name, corpus, neighbors in a.pool:
+        # Queries against a larger corpus that holds them, by its own neighbour table.
+        queries = sampler.sample(vectors, a.max_queries, a.seed)
+        values |= evaluate.against_pool(queries, spark.read.parquet(corpus), artifacts.read(spark, neighbors, **want)[0], a.recall_k, a.cknna_topk, name)
     print(json.dumps(values, sort_keys=True))
     if a.out:
         artifacts.append_metrics(spark, a.out, a.run_name, a.epoch, values)
@@ -56,11 +62,11 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument(name, **kw)
     n = sub.add_parser("neighbors")
     n.set_defaults(run=build_neighbors)
-    for name, kw in (("clips", {}), ("out", {}), ("--design", {"default": "abs_21j_coords"}), ("--top-k", {"type": int, "default": 20}), ("--candidate-k", {"type": int, "default": 100}), ("--pooling", {"default": "stats4"}), ("--sanity-check", {"action": "store_true"}), ("--sanity-queries", {"type": int, "default": 1000}), ("--seed", {"type": int, "default": 42})):
+    for name, kw in (("clips", {}), ("out", {}), ("--design", {"default": "abs_21j_coords"}), ("--top-k", {"type": int, "default": 20}), ("--candidate-k", {"type": int, "default": 100}), ("--pooling", {"default": "stats4"}), ("--partition-by", {"nargs": "+"}), ("--index", {"default": "exhaustive", "choices": sorted(topk.INDEXES)}), ("--sanity-check", {"action": "store_true"}), ("--sanity-queries", {"type": int, "default": 1000}), ("--seed", {"type": int, "default": 42})):
         n.add_argument(name, **kw)
     e = sub.add_parser("evaluate")
     e.set_defaults(run=run_evaluation)
-    for name, kw in (("embeddings", {}), ("neighbors", {}), ("--out", {}), ("--run", {"default": "run", "dest": "run_name"}), ("--epoch", {"type": int, "default": 0}), ("--recall-k", {"type": int, "nargs": "+", "default": [1, 5, 10, 20]}), ("--cknna-topk", {"type": int, "nargs": "+", "default": [10]})):
+    for name, kw in (("embeddings", {}), ("neighbors", {}), ("--out", {}), ("--run", {"default": "run", "dest": "run_name"}), ("--epoch", {"type": int, "default": 0}), ("--recall-k", {"type": int, "nargs": "+", "default": [1, 5, 10, 20]}), ("--cknna-topk", {"type": int, "nargs": "+", "default": [10]}), ("--design", {}), ("--pool", {"nargs": 3, "action": "append", "default": [], "metavar": ("NAME", "CORPUS", "NEIGHBORS")}), ("--max-queries", {"type": int, "default": 0}), ("--seed", {"type": int, "default": 42})):
         e.add_argument(name, **kw)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()

@@ -16,24 +16,24 @@ TUBELET_FRAMES, TUBELET_TOKENS = 2, 576
 
 #: Joint pairs whose distances make a frame's 160 features; joints 0-20 are the left hand, 21-41 the right.
 #: 40 pairs across hands, then 60 within the left hand; the last 60 are the same within the right.
-CROSS_PAIRS = """
-11-35 10-35 11-30 10-31 15-35 11-31 11-34 14-31 10-30 14-35 15-30 15-31 9-31 14-32 10-32 14-30 11-36 15-34 10-36 9-35
-15-36 10-34 14-36 9-32 5-31 15-32 11-32 5-35 9-30 9-36 14-34 5-30 11-39 5-32 13-31 7-35 6-35 2-30 12-35 13-32
-"""
-LEFT_PAIRS = """
-0-9 0-17 0-13 1-9 0-5 5-17 1-17 1-5 1-13 9-17 5-13 5-6 0-1 9-10 1-2 13-14 2-3 5-9 9-13 10-11
-14-15 6-7 17-18 11-12 13-17 7-8 1-3 18-19 15-16 0-3 0-2 3-4 0-14 0-6 0-10 6-8 10-12 0-11 0-15 0-7
-1-14 2-10 2-15 0-18 11-19 1-10 2-11 1-15 13-15 1-6 1-11 11-13 14-16 2-14 5-18 1-7 2-4 1-18 5-15 12-17
-"""
-
-
-def _parse(text: str) -> list[tuple[int, int]]:
-    return [tuple(map(int, p.split("-"))) for p in text.split()]
+CROSS_PAIRS = [
+    (11, 35), (10, 35), (11, 30), (10, 31), (15, 35), (11, 31), (11, 34), (14, 31), (10, 30), (14, 35),
+    (15, 30), (15, 31), (9, 31), (14, 32), (10, 32), (14, 30), (11, 36), (15, 34), (10, 36), (9, 35),
+    (15, 36), (10, 34), (14, 36), (9, 32), (5, 31), (15, 32), (11, 32), (5, 35), (9, 30), (9, 36),
+    (14, 34), (5, 30), (11, 39), (5, 32), (13, 31), (7, 35), (6, 35), (2, 30), (12, 35), (13, 32),
+]
+LEFT_PAIRS = [
+    (0, 9), (0, 17), (0, 13), (1, 9), (0, 5), (5, 17), (1, 17), (1, 5), (1, 13), (9, 17),
+    (5, 13), (5, 6), (0, 1), (9, 10), (1, 2), (13, 14), (2, 3), (5, 9), (9, 13), (10, 11),
+    (14, 15), (6, 7), (17, 18), (11, 12), (13, 17), (7, 8), (1, 3), (18, 19), (15, 16), (0, 3),
+    (0, 2), (3, 4), (0, 14), (0, 6), (0, 10), (6, 8), (10, 12), (0, 11), (0, 15), (0, 7),
+    (1, 14), (2, 10), (2, 15), (0, 18), (11, 19), (1, 10), (2, 11), (1, 15), (13, 15), (1, 6),
+    (1, 11), (11, 13), (14, 16), (2, 14), (5, 18), (1, 7), (2, 4), (1, 18), (5, 15), (12, 17),
+]
 
 
 def joint_pairs() -> list[tuple[int, int]]:
-    left = _parse(LEFT_PAIRS)
-    return _parse(CROSS_PAIRS) + left + [(a + JOINTS, b + JOINTS) for a, b in left]
+    return CROSS_PAIRS + LEFT_PAIRS + [(a + JOINTS, b + JOINTS) for a, b in LEFT_PAIRS]
 
 
 def joint_layout(dim: int) -> tuple[int, int]:
@@ -89,28 +89,19 @@ def gap_fill(hand: Column, width: int, fill: str = "ffill") -> Column:
     with the one before (`ffill`) or the nearest, the earlier of two (`nearest`). No detection at all gives zeros."""
     if fill not in ("ffill", "nearest"):
         raise ValueError(f"unknown fill {fill!r}")
-    row = F.transform(hand, lambda f, i: F.when(f.isNotNull(), F.struct(f.alias("f"), i.alias("i"))))
-
-    def carry(rows: Column) -> Column:
-        """Each row, or the last one before it."""
-        none = F.lit(None).cast("struct<f:array<double>,i:int>")
-        start = F.struct(F.array().cast("array<struct<f:array<double>,i:int>>").alias("all"), none.alias("last"))
-
-        def step(acc: Column, x: Column) -> Column:
-            now = F.coalesce(x, acc["last"])
-            return F.struct(F.concat(acc["all"], F.array(now)).alias("all"), now.alias("last"))
+    n = F.size(hand)
+    detected = F.filter(F.transform(hand, lambda f, i: F.when(f.isNotNull(), i)), lambda i: i.isNotNull())
 
-        return F.aggregate(rows, start, step, lambda acc: acc["all"])
+    def spans(at: Column) -> Column:
+        """Each detection as often as frames take it: from where its span begins to where the next one's does."""
 
-    def pick(b: Column, a: Column, i: Column) -> Column:
-        later = F.lit(False) if fill == "ffill" else a["i"] - i < i - b["i"]
-        return F.when(b.isNull() | (a.isNotNull() & later), a["f"]).otherwise(b["f"])
+        def begin(k: Column) -> Column:
+            first = F.get(at, k) if fill == "ffill" else F.lit(1) + F.floor((F.get(at, k - 1) + F.get(at, k)) / 2).cast("int")
+            return F.when(k == 0, F.lit(0)).when(k == F.size(at), n).otherwise(first)
 
-    def of(rows: Column) -> Column:
-        both = F.zip_with(carry(rows), F.reverse(carry(F.reverse(rows))), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
-        return F.transform(both, lambda x, i: F.coalesce(pick(x["b"], x["a"], i), zeros(width)))
+        return F.flatten(F.transform(at, lambda i, k: F.array_repeat(F.get(hand, i), begin(k + 1) - begin(k))))
 
-    return let(row, of)
+    return F.when(F.size(detected) > 0, let(detected, spans)).otherwise(F.array_repeat(zeros(width), n))
 
 
 def truncate(frames: Column, max_frames: int = MAX_FRAMES) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import softplus
+from ..scratch import written
 
 
 def zscore(pairs: DataFrame, sim: str, batch: str = "batch", i: str = "i", j: str = "j", eps: float = 1e-8) -> DataFrame:
@@ -64,6 +65,7 @@ def set_rank(members: DataFrame, sims: DataFrame, cache: DataFrame, positive_top
 
     scored = explicit.join(sim, ["anchor", "c"]).join(cached.select("anchor", "c", "dtw_sim"), ["anchor", "c"], "left")
     scored = scored.withColumn("dtw_sim", F.when(F.col("dtw_sim").isNull(), F.raise_error(F.lit("candidate missing from the neighbour cache")).cast("double")).otherwise(F.col("dtw_sim")))
+    scored = written(scored, "scored")  # a batch's groups; three terms read it
     positives = scored.where("role = 'positive'").select("batch", "anchor", F.col("c").alias("p"), F.col("sim").alias("psim"))
     boundary = scored.where("role = 'boundary'").select("batch", "anchor", "c", "sim")
 
@@ -74,6 +76,7 @@ def set_rank(members: DataFrame, sims: DataFrame, cache: DataFrame, positive_top
     hardest = Window.partitionBy("batch", "anchor").orderBy(F.round("sim", 9).desc(), "c")
     extra = others.join(sim, ["anchor", "c"]).join(n_boundary, ["batch", "anchor"], "left").withColumn("k", F.row_number().over(hardest)).where(F.col("k") <= hard_negatives - F.coalesce("nb", F.lit(0)))
     negatives = boundary.unionByName(extra.select("batch", "anchor", "c", "sim")).withColumnsRenamed({"c": "n", "sim": "nsim"})
+    negatives = written(negatives, "negatives")
 
     terms = positives.join(negatives, ["batch", "anchor"])
     gap = F.col("nsim") - F.col("psim")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, dtw, pooling
 from ..functions.transforms import design as by_name
+from ..scratch import written
 from . import cells
 from .best import EDGES, best
 from .best import k_best as _k_best
@@ -48,8 +49,8 @@ def ranked(edges: DataFrame, k: int) -> DataFrame:
 
 
 def dtw_topk_with_train(clips: DataFrame, train: DataFrame, k: int, method: str = "symmetric2", norm: str = "mean_length", rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """dtw_topk() of all clips and of the training clips among themselves, from one pass over the pairs. Both tables read the
-    written result of that pass if the caller persists or writes them; as plans they share its text only."""
+    """dtw_topk() of all clips and of the training clips among themselves, from one pass over the pairs, which is written by
+    table; each of the two reads its part."""
     marked = clips.join(train.select("clip_idx", F.lit(True).alias("t")).distinct(), "clip_idx", "left").select("clip_idx", "frames", F.coalesce("t", F.lit(False)).alias("t"))
 
     def run(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
@@ -61,7 +62,7 @@ def dtw_topk_with_train(clips: DataFrame, train: DataFrame, k: int, method: str
         tables = [_both_sides(*ids, np.where(keep, sim, -np.inf), same, k) for keep in (True, both)]
         return pa.concat_tables([t.append_column("train", pa.array([i == 1] * len(t), pa.bool_())) for i, t in enumerate(tables)])
 
-    edges = block_pairs(marked, "clip_idx", run, EDGES + ", train boolean", rows)
+    edges = written(block_pairs(marked, "clip_idx", run, EDGES + ", train boolean", rows), "pairs", ["train"])
     return ranked(edges.where("not train"), k), ranked(edges.where("train"), k)
 
 
@@ -112,6 +113,12 @@ def _dtw_pairs_by_block(pairs: DataFrame, clips: DataFrame, n: int, method: str,
 def dtw_against(queries: DataFrame, corpus: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
     """The k nearest clips of a corpus for each query clip, itself not counted: every block of queries meets every block
     of the corpus, and nothing else meets."""
+    return ranked(dtw_between(queries, corpus, k, False, rows), k)
+
+
+def dtw_between(queries: DataFrame, corpus: DataFrame, k: int, both: bool = True, rows: int = ROWS) -> DataFrame:
+    """(clip_idx, neighbor_idx, sim): what blocks of queries and of a corpus leave, the k best of each query within a pair of
+    blocks, and of each corpus clip among the queries where `both` are asked for; each pair is computed once."""
     nq, nc = n_blocks(queries, rows), n_blocks(corpus, rows)
     deal = lambda n: F.pmod(F.xxhash64("clip_idx"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -124,9 +131,10 @@ def dtw_against(queries: DataFrame, corpus: DataFrame, k: int, rows: int = ROWS)
             return _table([], [], [])
         sim = -dtw.cross(_frames(q["qf"]), _frames(c["frames"]))
         qi, ci = q["q"].to_numpy(), c["clip_idx"].to_numpy()
-        return _k_best(qi, ci, np.where(qi[:, None] == ci[None], -np.inf, sim), k)
+        sim = np.where(qi[:, None] == ci[None], -np.inf, sim)
+        return pa.concat_tables([_k_best(qi, ci, sim, k), *([_k_best(ci, qi, sim.T, k)] if both else [])])
 
-    return ranked(asked.groupBy("qi", "qj").cogroup(there.groupBy("i", "j")).applyInArrow(run, EDGES), k)
+    return asked.groupBy("qi", "qj").cogroup(there.groupBy("i", "j")).applyInArrow(run, EDGES)
 
 
 def cosine_topk(vectors: DataFrame, k: int, vector: str = "z", rows: int = 4 * ROWS) -> DataFrame:
@@ -157,11 +165,11 @@ def filtered_topk(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats
     return ranked(dtw_pairs(INDEXES[index](pooled, candidate_k), clips, per_clip=candidate_k), k)
 
 
-def build(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats4", design: str = "abs_21j_coords", width: int | None = None, dim: int | None = None) -> tuple[DataFrame, dict]:
+def build(clips: DataFrame, k: int, candidate_k: int, kind: str = "stats4", design: str = "abs_21j_coords", width: int | None = None, dim: int | None = None, index: str = "exhaustive") -> tuple[DataFrame, dict]:
     """A neighbour table and its metadata: all pairs where candidate_k is 0 or less, else filter and refine."""
     d = by_name(design)
     everything = candidate_k <= 0
-    table = dtw_topk(clips, k, d.method, d.norm) if everything else filtered_topk(clips, k, candidate_k, kind, width, dim)
+    table = dtw_topk(clips, k, d.method, d.norm) if everything else filtered_topk(clips, k, candidate_k, kind, width, dim, index)
     meta = {"design": design, "top_k": k, "candidate_k": -1 if everything else candidate_k, "pooling": None if everything else kind, "dtw_mode": "exact_all_pairs" if everything else "exact", "n": clips.count()}
     return table, meta
 

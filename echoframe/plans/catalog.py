@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, dtw, pooling, transforms
 from ..operators import cells, losses, metrics, mining, model, pruned, sampler, topk
+from ..scratch import written
 from ..sources import clips as src
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -419,7 +420,7 @@ SELECT round(CASE WHEN aa.h > 0 AND bb.h > 0 THEN ab.h / sqrt(aa.h * bb.h) ELSE
 def cknna(spark, d):
     c = src.embedding_clips(spark, d)
     # Both tables (10 rows a clip) are read several times.
-    return metrics.cknna(topk.cosine_topk(c, 10).persist(), topk.dtw_topk(c, 10).persist(), 10, c.count()).select(r("cknna").alias("cknna"))
+    return metrics.cknna(written(topk.cosine_topk(c, 10), "model"), written(topk.dtw_topk(c, 10), "target"), 10, c.count()).select(r("cknna").alias("cknna"))
 
 
 def _centred_sql(x, y, out):
@@ -437,8 +438,8 @@ SELECT round(CASE WHEN aa.h > 0 AND bb.h > 0 THEN greatest(-1, least(1, ab.h / s
 def pool_cknna(spark, d):
     """Held-out queries against all clips."""
     c, _, held = _split(spark, d)
-    edges = topk.cosine_against(held, c, 10).persist()
-    return metrics.pool_cknna(edges, topk.dtw_against(held, c, 10).persist(), 10, held.count(), c.count()).select(r("cknna").alias("cknna"))
+    edges = written(topk.cosine_against(held, c, 10), "model")
+    return metrics.pool_cknna(edges, written(topk.dtw_against(held, c, 10), "target"), 10, held.count(), c.count()).select(r("cknna").alias("cknna"))
 
 
 @query(f"WITH {CLIPS}, {sql_cosine_edges(5)}, {sql_dtw_edges(1)} SELECT round(avg(CASE WHEN m.clip_idx IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM target t LEFT JOIN model m ON m.clip_idx = t.clip_idx AND m.neighbor_idx = t.neighbor_idx")
@@ -563,7 +564,7 @@ SELECT batch, round(set_loss, 6) AS set_loss, round(rank_loss, 6) AS rank_loss,
 def set_rank_loss(spark, d):
     """Every clip anchors a group of two positives and one boundary; ten groups make a batch."""
     c = src.embedding_clips(spark, d)
-    cache = topk.dtw_topk(c, K).persist()  # read several times; K rows a clip
+    cache = written(topk.dtw_topk(c, K), "cache")  # read several times; K rows a clip
     batch = F.expr("clip_idx div 10").alias("batch")
     pick = lambda cond, role, slot: cache.where(cond).select(batch, F.col("clip_idx").alias("anchor"), slot.cast("int").alias("slot"), F.lit(role).alias("role"), F.col("neighbor_idx").alias("clip_idx"))
     members = c.select(batch, F.col("clip_idx").alias("anchor"), F.lit(0).alias("slot"), F.lit("anchor").alias("role"), "clip_idx")
@@ -573,7 +574,7 @@ def set_rank_loss(spark, d):
     sims = members.where("role = 'anchor'").select("batch", "anchor").join(here, "batch").select("anchor", "clip_idx").distinct()
     sims = sims.join(z, "clip_idx").withColumnsRenamed({"clip_idx": "neighbor_idx", "z": "zb", "anchor": "clip_idx"}).join(z, "clip_idx").select("clip_idx", "neighbor_idx", arrays.dot(F.col("z"), F.col("zb")).alias("sim"))
     distinct = members.dropDuplicates(["batch", "anchor", "clip_idx"])
-    out = losses.set_rank(distinct, sims, cache, 10, 5)
+    out = losses.set_rank(distinct, written(sims, "sims"), cache, 10, 5)
     return out.select("batch", *(r(x).alias(x) for x in ("set_loss", "rank_loss", "total", "set_violation", "rank_violation", "positive_margin")))
 
 

@@ -23,10 +23,11 @@ def folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/sequences-{app}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of its own: what reads it several times computes it once, and lineage ends there."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table of its own: what reads it several times computes it once, and lineage ends there. With columns to
+    divide it by, what asks for a value of these reads its files alone."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -40,6 +40,13 @@ def test_command_line(spark, tmp_path, capsys):
     c = spark.read.parquet(path["c"] + "/data")
     assert c.count() == 6 and len(c.first().frames[0]) == 160
     c.select("clip_idx", F.get("frames", F.lit(0)).alias("z")).write.parquet(path["z"])
+    cli.main(["neighbors", path["c"], path["n"] + "2", "--design", "pca_interjoint_dists", "--top-k", "3", "--candidate-k", "5", "--index", "cells", "--partition-by", "rank"])
+    assert spark.read.parquet(path["n"] + "2/data").count() == 18
+    cli.main(["evaluate", path["z"], path["n"], "--recall-k", "1", "--cknna-topk", "2", "--design", "pca_interjoint_dists", "--pool", "global", path["z"], path["n"], "--max-queries", "4"])
+    pooled = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert {"R@1", "global_R@1", "cknna_dtw_global@2", "mutual_knn_dtw_global@2"} <= set(pooled)
+    with pytest.raises(ValueError):
+        cli.main(["evaluate", path["z"], path["n"], "--design", "abs_21j_coords"])
     cli.main(["evaluate", path["z"], path["n"], "--recall-k", "1", "5", "--cknna-topk", "2", "--out", str(tmp_path / "m")])
     printed = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert printed["R@5"] == 1 and spark.read.parquet(str(tmp_path / "m")).count() == len(printed)

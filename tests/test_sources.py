@@ -101,14 +101,31 @@ def test_incremental_equals_full(spark):
     assert key(incremental.extend(topk.dtw_topk(old, 3), old, new, 3)) == key(topk.dtw_topk(df, 3))
 
 
-def test_stream(spark, tmp_path):
-    src = tmp_path / "in"
-    df = spark.createDataFrame(rows(8), "clip_idx long, frames array<array<double>>")
+def test_stream_appends_and_restarts(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    df = spark.createDataFrame(rows(14), "clip_idx long, frames array<array<double>>")
+    key = lambda t: sorted(tuple(r)[:3] for r in t.collect())
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+        q = incremental.maintain(stream, out, 3, str(tmp_path / "cp"))
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")}
     df.where("clip_idx < 5").coalesce(1).write.parquet(str(src / "0"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
-    q = incremental.maintain(stream, str(tmp_path / "out"), 2, str(tmp_path / "cp"))
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert spark.read.parquet(str(tmp_path / "out" / "neighbors-0")).count() == 10
+    run()
+    assert key(incremental.neighbors(spark, out, 3)) == key(topk.dtw_topk(df.where("clip_idx < 5"), 3))
+    before = files()
+    # Clips that are known, and one that comes twice in a batch, after a restart from the checkpoint.
+    df.where("clip_idx >= 3 AND clip_idx < 9").unionByName(df.where("clip_idx = 7")).coalesce(1).write.parquet(str(src / "1"))
+    run()
+    df.where("clip_idx >= 9").coalesce(1).write.parquet(str(src / "2"))
+    run()
+    assert key(incremental.neighbors(spark, out, 3)) == key(topk.dtw_topk(df, 3))
+    assert before.items() <= files().items()  # nothing that was there is rewritten
+    incremental.compact(spark, out, str(tmp_path / "folded"), 3)
+    assert key(incremental.neighbors(spark, str(tmp_path / "folded"), 3)) == key(topk.dtw_topk(df, 3))
+    assert spark.read.parquet(str(tmp_path / "folded" / "edges")).count() == 14 * 3
