@@ -89,19 +89,24 @@ def gap_fill(hand: Column, width: int, fill: str = "ffill") -> Column:
     with the one before (`ffill`) or the nearest, the earlier of two (`nearest`). No detection at all gives zeros."""
     if fill not in ("ffill", "nearest"):
         raise ValueError(f"unknown fill {fill!r}")
-    n = F.size(hand)
-    detected = F.filter(F.transform(hand, lambda f, i: F.when(f.isNotNull(), i)), lambda i: i.isNotNull())
 
-    def spans(at: Column) -> Column:
-        """Each detection as often as frames take it: from where its span begins to where the next one's does."""
+    def filled(hand: Column) -> Column:
+        n = F.size(hand)
+        detected = F.filter(F.transform(hand, lambda f, i: F.when(f.isNotNull(), i)), lambda i: i.isNotNull())
 
-        def begin(k: Column) -> Column:
-            first = F.get(at, k) if fill == "ffill" else F.lit(1) + F.floor((F.get(at, k - 1) + F.get(at, k)) / 2).cast("int")
-            return F.when(k == 0, F.lit(0)).when(k == F.size(at), n).otherwise(first)
+        def spans(at: Column) -> Column:
+            """Each detection as often as frames take it: from where its span begins to where the next one's does."""
 
-        return F.flatten(F.transform(at, lambda i, k: F.array_repeat(F.get(hand, i), begin(k + 1) - begin(k))))
+            def begin(k: Column) -> Column:
+                first = F.get(at, k) if fill == "ffill" else F.lit(1) + F.floor((F.get(at, k - 1) + F.get(at, k)) / 2).cast("int")
+                return F.when(k == 0, F.lit(0)).when(k == F.size(at), n).otherwise(first)
 
-    return F.when(F.size(detected) > 0, let(detected, spans)).otherwise(F.array_repeat(zeros(width), n))
+            each = F.flatten(F.transform(at, lambda i, k: F.array_repeat(F.get(hand, i), begin(k + 1) - begin(k))))
+            return F.when(F.size(at) > 0, each).otherwise(F.array_repeat(zeros(width), n))
+
+        return let(detected, spans)
+
+    return let(hand, filled)  # read once, not for each frame
 
 
 def truncate(frames: Column, max_frames: int = MAX_FRAMES) -> Column:
