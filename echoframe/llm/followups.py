@@ -33,9 +33,13 @@ OPEN, DELAY, YEAR_2024, EPOCH = 24 * HOUR, 96 * HOUR, 1_704_067_200_000_000, -2_
 FAR = 9_200_000_000_000_000
 END = FAR - DELAY
 CLICK, SALE, MARKER = 0, 1, 2
+#: What a marker row is for the state: a number that no event has.
+NO_EVENT = -(2**63)
 #: Events in an element of the list.
 CHUNK = 10_000
 EVENTS = "client_id long, kind int, us long, ends boolean"
+#: What the state tells: (client_id, opened_us or NO_EVENT, n_rows) one after another, as a column costs much where each client has a table of its own.
+TOLD = "told array<long>"
 ALERTS = "client_id long, opened_us long, due_us long, n_rows long"
 
 
@@ -77,6 +81,7 @@ class FollowUps(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "events array<long>")
         self.obligation = handle.getValueState("obligation", "opened long, n long")
+        self.drained = set()  # clients whose timer has fired in this batch
 
     def close(self) -> None:
         pass
@@ -85,20 +90,23 @@ class FollowUps(StatefulProcessor):
         clock = timerValues.getCurrentWatermarkInMs()
         late, kept = 0, []
         for pdf in rows:
-            for us, kind in zip(pdf["us"].tolist(), pdf["kind"].tolist(), strict=True):
-                if kind == MARKER:
+            for e in pdf["event"].tolist():
+                if e == NO_EVENT:
                     continue
-                if clock > 0 and us < EPOCH + clock:
+                if clock > 0 and e >> 1 < EPOCH + clock:
                     late += 1
                 else:
-                    kept.append(2 * us + kind)
+                    kept.append(e)
         if kept:
             self._wait(kept)
         if late:
-            yield _frame(key, [(-1, -1, late)])
+            yield _told([key[0], NO_EVENT, late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Whichever timer fires first in a batch drains all that the watermark has passed; the others find nothing."""
+        if key[0] in self.drained:
+            return
+        self.drained.add(key[0])
         clock = timerValues.getCurrentWatermarkInMs()
         limit = EPOCH + clock if clock < END else float("inf")
         waiting = sorted(e for row in self.waiting.get() for e in row[0])
@@ -119,7 +127,7 @@ class FollowUps(StatefulProcessor):
             self.obligation.update(now)
             self.handle.registerTimer(_clock(now[0] + OPEN))
         if alerts:
-            yield _frame(key, alerts)
+            yield _told([x for opened, _, n in alerts for x in (key[0], opened, n)])
 
     def _wait(self, kept: list[int]) -> None:
         self.waiting.appendList(_chunks(sorted(kept)))
@@ -153,8 +161,8 @@ def _chunks(events: list[int]) -> list[tuple[list[int]]]:
     return [(events[k : k + CHUNK],) for k in range(0, len(events), CHUNK)]
 
 
-def _frame(key, rows: list[tuple[int, int, int]]) -> pd.DataFrame:
-    return pd.DataFrame([(key[0], *r) for r in rows], columns=["client_id", "opened_us", "due_us", "n_rows"])
+def _told(numbers: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"told": [numbers]})
 
 
 def _session(spark: SparkSession) -> SparkSession:
@@ -182,8 +190,8 @@ def alerts(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     one checkpoint for each batch in turn. A batch's watermark is the largest event time of the batches before it less 96
     hours; its events before that are late. Clicks come before sales of the same microsecond, and an obligation
     is open through its last microsecond. An alert's batch is the first whose watermark is past due_us, with rows or without:
-    every batch has a marker row, which is no event. Two starts follow the last batch, the second with the watermark
-    at the end of the clock, and what they tell is batch 8.
+    every batch has a marker row, which is no event. The last one's is at the end of the clock, so the start that follows the last
+    batch finds all time past, and what it tells is batch 8.
 
     Sales that can end nothing move the watermark and are counted where they are late; of the others they are left out before the
     state, where each call costs more than the join that tells them apart.
@@ -200,18 +208,20 @@ def alerts(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     common.ship(spark)
     own = _session(spark)
     folder = f"{common.shared_dir(spark)}/followups-{uuid.uuid4().hex}"
-    marker = spark.range(BATCHES + 2).select(F.lit(0).cast("long").alias("client_id"), F.lit(MARKER).alias("kind"), F.when(F.col("id") == BATCHES, F.lit(EPOCH + FAR)).otherwise(F.lit(EPOCH)).alias("us"), F.lit(True).alias("ends"), F.col("id").cast("int").alias("batch"))
+    marker = spark.range(BATCHES + 1).select(F.lit(0).cast("long").alias("client_id"), F.lit(MARKER).alias("kind"), F.when(F.col("id") == BATCHES - 1, F.lit(EPOCH + FAR)).otherwise(F.lit(EPOCH)).alias("us"), F.lit(True).alias("ends"), F.col("id").cast("int").alias("batch"))
     events(clicks, sales).unionByName(marker).write.partitionBy("batch").parquet(f"{folder}/in")
     clock = F.least(F.greatest(F.col("us") - EPOCH, F.lit(0)), F.lit(FAR))
     latest = {r.batch: r.at for r in spark.read.schema(f"{EVENTS}, batch int").parquet(f"{folder}/in").groupBy("batch").agg(F.max(clock).alias("at")).collect()}  # a row for each batch
-    for b in range(BATCHES + 2):
+    for b in range(BATCHES + 1):
         mark = max([latest[x] for x in range(b)], default=0) - DELAY
         # The files of this batch are new to the checkpoint; those of earlier ones it has seen.
         arrived = own.readStream.schema(EVENTS).parquet(f"{folder}/in/batch={{{','.join(map(str, range(b + 1)))}}}")
         timed = arrived.withColumn("clock", F.timestamp_millis(clock)).withWatermark("clock", f"{DELAY // 1000} seconds")
         # The condition names the clock, so it stays behind the watermark, which all events move.
-        timed = timed.where(F.col("ends") | (F.unix_millis("clock") < mark)).select("client_id", "kind", "us")
-        told = timed.groupBy("client_id").transformWithStateInPandas(FollowUps(), ALERTS, "Append", "EventTime")
-        out = told.withColumn("batch", F.lit(min(b, BATCHES)))
+        timed = timed.where(F.col("ends") | (F.unix_millis("clock") < mark)).select("client_id", F.when(F.col("kind") == MARKER, F.lit(NO_EVENT)).otherwise(2 * F.col("us") + F.col("kind")).alias("event"))
+        told = timed.groupBy("client_id").transformWithStateInPandas(FollowUps(), TOLD, "Append", "EventTime")
+        told = told.select("told", F.explode(F.sequence(F.lit(0), F.size("told") - 1, F.lit(3))).alias("k"))
+        client, opened, n = (F.get("told", F.col("k") + i) for i in range(3))
+        out = told.select(client.alias("client_id"), *(F.when(opened == NO_EVENT, F.lit(-1)).otherwise(us).cast("long").alias(x) for x, us in (("opened_us", opened), ("due_us", opened + OPEN))), n.alias("n_rows"), F.lit(b).alias("batch"))
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{ALERTS}, batch int").parquet(f"{folder}/out").select("batch", "client_id", "opened_us", "due_us", "n_rows")
