@@ -9,8 +9,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import METRICS, VERSION, check_meta
+from . import features
 
 
 def write(df: DataFrame, path: str, meta: dict, partition_by: list[str] | None = None) -> None:
@@ -62,22 +64,17 @@ def require_features(clips: DataFrame, files: DataFrame) -> None:
         raise RuntimeError(f"{missing} clips have no feature file")
 
 
-def read_features(spark: SparkSession, root: str, files: DataFrame, suffix: str = "npy") -> DataFrame:
-    """Token matrices of the listed files under a folder as arrays, one file a row, read on executors: the listing is joined
-    with the folder's, so no path passes through the driver's program."""
-    import io
-
-    import numpy as np
-    import pandas as pd
-
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
-    raw = there.select("path", "content").join(files.select("path"), "path", "left_semi")
+def read_features(files: DataFrame) -> DataFrame:
+    """The listed files with their token matrices as `tokens`. Each task opens the files of its own rows and no others, so a
+    listing that was filtered or joined before reads only what is left of it."""
 
     def decode(batches):
         for b in batches:
-            yield pd.DataFrame({"path": b.path, "tokens": [np.load(io.BytesIO(c)).astype("float32").tolist() for c in b.content]})
+            found = [features.matrix(*features.open_folder(p)) for p in b.column("path").to_pylist()]
+            yield b.append_column("tokens", features.as_lists(found))
 
-    return files.join(raw.mapInPandas(decode, "path string, tokens array<array<float>>"), "path")
+    schema = T.StructType([*files.schema.fields, T.StructField("tokens", T.ArrayType(T.ArrayType(T.FloatType())))])
+    return files.mapInArrow(decode, schema)
 
 
 def append_metrics(spark: SparkSession, path: str, run: str, epoch: int, values: dict[str, float]) -> None:

@@ -3,7 +3,7 @@ import pytest
 
 from echoframe import schema
 from echoframe.operators import topk
-from echoframe.sources import artifacts, clips
+from echoframe.sources import artifacts, clips, features
 from echoframe.streaming import incremental
 
 
@@ -66,10 +66,48 @@ def test_feature_files(spark, tmp_path):
     assert artifacts.with_features(c, files).count() == 1
     with pytest.raises(RuntimeError):
         artifacts.require_features(c, files)
-    t = artifacts.read_features(spark, str(tmp_path), files.where("node_uid = 'c'")).first().tokens
+    (tmp_path / "1" / "a.npy").write_bytes(b"not opened")
+    t = artifacts.read_features(files.where("node_uid = 'c'")).first().tokens
     assert t == [[2.0] * 3] * 2
 
 
+def test_feature_source(spark, tmp_path):
+    want = {}
+    for v in (1, 2, 10):
+        (tmp_path / str(v)).mkdir()
+        for u in "abcde":
+            m = np.arange(v * ord(u) % 7 * 3, dtype=np.float16).reshape(-1, 3)  # some are empty
+            np.save(tmp_path / str(v) / f"{u}.npy", m)
+            want[v, u] = m.astype(float).tolist()
+    (tmp_path / "1" / ".hidden.npy").write_bytes(b"")
+    (tmp_path / "other").mkdir()
+    root = str(tmp_path)
+    got = lambda df: {(r.video_number, r.node_uid): r.tokens for r in df.collect()}
+    assert got(features.read(spark, root)) == want and features.read(spark, root).count() == 15
+    assert [tuple(r) for r in features.read(spark, f"file:{root}", "n_dims int, n_tokens int").distinct().collect()].count((3, 0)) == 1
+    # Files that cannot be read show which are opened: none for names alone, and none that a filter rules out.
+    for v, u in want:
+        if (v, u) not in ((2, "b"), (2, "d")):
+            (tmp_path / str(v) / f"{u}.npy").write_bytes(b"broken")
+    assert features.read(spark, root, "node_uid string, video_number int").count() == 15
+    for where in ("video_number = 2 AND node_uid IN ('b', 'd', 'zz')", "video_number > 1 AND video_number <= 9 AND node_uid IN ('d', 'b')"):
+        assert got(features.read(spark, root).where(where)) == {k: t for k, t in want.items() if k in ((2, "b"), (2, "d"))}
+    for where in ("video_number = 3", "video_number = 2 AND node_uid = '../2/b'", "node_uid = 'b' AND node_uid = 'd'"):
+        assert features.read(spark, root).where(where).count() == 0
+    # A condition that is not pushed holds all the same.
+    assert features.read(spark, root, "video_number int, node_uid string").where("node_uid LIKE 'a%' OR video_number = 10").count() == 7
+    with pytest.raises(Exception, match="broken|pickle|magic|Cannot load"):
+        features.read(spark, root).where("video_number = 1").collect()
+
+
+def test_feature_source_without_files(spark, tmp_path):
+    assert features.read(spark, str(tmp_path)).collect() == []
+    (tmp_path / "1").mkdir()
+    np.save(tmp_path / "1" / "v.npy", np.zeros(3))
+    with pytest.raises(Exception, match="no matrix"):
+        features.read(spark, str(tmp_path)).collect()
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("top_k: 7\nunknown: 1\ndata_dir: d\nrecall_k: [1, 2]\n")
