@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dtw, pooling, transforms
-from ..operators import cells, losses, metrics, mining, model, pruned, sampler, topk
+from ..operators import cells, losses, metrics, mining, model, observed, pruned, sampler, topk
 from ..scratch import written
 from ..sources import clips as src
 
@@ -578,6 +578,18 @@ def set_rank_loss(spark, d):
     return out.select("batch", *(r(x).alias(x) for x in ("set_loss", "rank_loss", "total", "set_violation", "rank_violation", "positive_margin")))
 
 
+@query("""WITH q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS p)
+SELECT event_type, p, count(*) AS n, TRUE AS within FROM events, q WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL""")
+def sketched_quantiles(spark, d):
+    """Quantiles of each event type's values from merged sketches of its users' tenths, and whether their exact ranks are within
+    the sketches' error."""
+    e = src.table(spark, d, "events").withColumn("tenth", F.col("user_id") % 10)
+    found = written(observed.quantiles(observed.merged(observed.sketches(e, ["event_type", "tenth"], "value"), ["event_type"]), [0.05, 0.25, 0.5, 0.75, 0.95]), "quantiles")
+    ranks = observed.rank_bounds(e, ["event_type"], "value", found)
+    within = (F.col("below") <= F.col("p") + observed.RANK_ERROR) & (F.col("upto") >= F.col("p") - observed.RANK_ERROR)
+    return found.join(ranks, ["event_type", "p", "value"]).select("event_type", "p", "n", within.alias("within"))
+
+
 # Models.
 
 

@@ -357,3 +357,21 @@ def test_cosine_against_leaves_queries_alone(spark):
     got = topk.cosine_against(df.where("clip_idx < 5"), df, 4, rows=7)
     want = topk.cosine_topk(df, 4).where("clip_idx < 5")
     assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(tuple(r)[:3] for r in want.collect())
+
+
+def test_sketches_and_totals(spark, tmp_path):
+    from echoframe.operators import observed
+
+    df = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").when(F.col("id") < 19_999, "cold").otherwise("none").alias("g"), F.when(F.col("id") < 19_999, F.col("id") * 7919 % 20_011).cast("double").alias("x"))
+    df = df.unionByName(spark.createDataFrame([("cold", float("nan")), (None, 1.0)], "g string, x double"))
+    parts = observed.sketches(df.withColumn("day", F.pmod(F.hash("x"), F.lit(3))), ["g", "day"], "x")
+    found = observed.quantiles(observed.merged(parts, ["g"]), [0.0, 0.1, 0.5, 1.0])
+    assert {(r.g, r.n) for r in found.collect()} == {("hot", 15_000), ("cold", 4_999), (None, 1)}
+    for r in observed.rank_bounds(df, ["g"], "x", found).collect():
+        assert r.below - observed.RANK_ERROR <= r.p <= r.upto + observed.RANK_ERROR
+    assert observed.sketches(df.limit(0), ["g"], "x").collect() == []
+    totals = observed.Totals()
+    for k in range(2):
+        with totals.stage("pairs", df, rows=F.count(F.lit(1)), hot=F.count_if(F.col("g") == "hot")) as table:
+            table.write.parquet(str(tmp_path / str(k)))
+    assert totals.values["pairs_rows"] == 40_004 and totals.values["pairs_hot"] == 30_000 and totals.values["pairs_seconds"] > 0
