@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.transforms import TRANSFORMS, design, joint_layout
-from .operators import evaluate, sampler, topk
+from .operators import evaluate, observed, sampler, topk
 from .sources import artifacts, clips
 
 
@@ -31,7 +31,11 @@ def build_clips(spark, a) -> None:
 def build_neighbors(spark, a) -> None:
     table, _ = artifacts.read(spark, a.clips, design=a.design)
     edges, meta = topk.build(table, a.top_k, a.candidate_k, a.pooling, a.design, index=a.index)
-    artifacts.write(edges, a.out, meta, a.partition_by)
+    totals = observed.Totals()
+    with totals.stage("neighbors", edges, edges=F.count(F.lit(1))) as counted:
+        artifacts.write(counted, a.out, meta, a.partition_by)
+    if a.metrics:
+        artifacts.append_metrics(spark, a.metrics, a.run_name, 0, totals.values)
     if a.sanity_check:
         # A sample of queries against all clips; the built table's rows of these.
         queries = sampler.sample(table, a.sanity_queries, a.seed)
@@ -62,7 +66,7 @@ def main(argv: list[str] | None = None) -> None:
         c.add_argument(name, **kw)
     n = sub.add_parser("neighbors")
     n.set_defaults(run=build_neighbors)
-    for name, kw in (("clips", {}), ("out", {}), ("--design", {"default": "abs_21j_coords"}), ("--top-k", {"type": int, "default": 20}), ("--candidate-k", {"type": int, "default": 100}), ("--pooling", {"default": "stats4"}), ("--partition-by", {"nargs": "+"}), ("--index", {"default": "exhaustive", "choices": sorted(topk.INDEXES)}), ("--sanity-check", {"action": "store_true"}), ("--sanity-queries", {"type": int, "default": 1000}), ("--seed", {"type": int, "default": 42})):
+    for name, kw in (("clips", {}), ("out", {}), ("--design", {"default": "abs_21j_coords"}), ("--top-k", {"type": int, "default": 20}), ("--candidate-k", {"type": int, "default": 100}), ("--pooling", {"default": "stats4"}), ("--partition-by", {"nargs": "+"}), ("--index", {"default": "exhaustive", "choices": sorted(topk.INDEXES)}), ("--metrics", {}), ("--run", {"default": "run", "dest": "run_name"}), ("--sanity-check", {"action": "store_true"}), ("--sanity-queries", {"type": int, "default": 1000}), ("--seed", {"type": int, "default": 42})):
         n.add_argument(name, **kw)
     e = sub.add_parser("evaluate")
     e.set_defaults(run=run_evaluation)

@@ -40,7 +40,9 @@ def test_command_line(spark, tmp_path, capsys):
     c = spark.read.parquet(path["c"] + "/data")
     assert c.count() == 6 and len(c.first().frames[0]) == 160
     c.select("clip_idx", F.get("frames", F.lit(0)).alias("z")).write.parquet(path["z"])
-    cli.main(["neighbors", path["c"], path["n"] + "2", "--design", "pca_interjoint_dists", "--top-k", "3", "--candidate-k", "5", "--index", "cells", "--partition-by", "rank"])
+    cli.main(["neighbors", path["c"], path["n"] + "2", "--design", "pca_interjoint_dists", "--top-k", "3", "--candidate-k", "5", "--index", "cells", "--partition-by", "rank", "--metrics", str(tmp_path / "t")])
+    told = {r.name: r.value for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert told["neighbors_edges"] == 18 and told["neighbors_seconds"] > 0
     assert spark.read.parquet(path["n"] + "2/data").count() == 18
     cli.main(["evaluate", path["z"], path["n"], "--recall-k", "1", "--cknna-topk", "2", "--design", "pca_interjoint_dists", "--pool", "global", path["z"], path["n"], "--max-queries", "4"])
     pooled = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
