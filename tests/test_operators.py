@@ -375,3 +375,34 @@ def test_sketches_and_totals(spark, tmp_path):
         with totals.stage("pairs", df, rows=F.count(F.lit(1)), hot=F.count_if(F.col("g") == "hot")) as table:
             table.write.parquet(str(tmp_path / str(k)))
     assert totals.values["pairs_rows"] == 40_004 and totals.values["pairs_hot"] == 30_000 and totals.values["pairs_seconds"] > 0
+
+
+@pytest.mark.parametrize("norm", ["mean_length", "none"])
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_few_pairs_are_computed_in_double_precision(monkeypatch, norm, shift):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    f = [rng.normal(size=(int(rng.integers(2, 9)), 4)) + shift for _ in range(400)]
+    f[7], f[300] = f[11].copy(), f[11].copy()  # ties
+    t = pa.table({"clip_idx": np.arange(400), "frames": [x.tolist() for x in f]})
+    left, right = t.slice(0, 200), t.slice(200)
+    sim = -dtw_.cross(f, f, None, "symmetric2", norm)
+    computed = []
+    run = dtw_.distances
+    monkeypatch.setattr(dtw_, "distances", lambda *a: computed.append(len(a[2][0])) or run(*a))
+    monkeypatch.setattr(dtw_, "cross", lambda *a: pytest.fail("all pairs in double precision"))
+    for a, b, same in ((left, right, False), (left, left, True)):
+        got = {}
+        for r in topk.nearest(a, b, same, 5, "symmetric2", norm).to_pylist():
+            got.setdefault(r["clip_idx"], []).append(r["neighbor_idx"])
+        sides = [(a, b)] if same else [(a, b), (b, a)]
+        for x, y in sides:
+            ids, others = x["clip_idx"].to_numpy(), y["clip_idx"].to_numpy()
+            for i in ids:
+                rest = others[others != i]
+                assert got[i] == list(rest[np.lexsort((rest, -np.round(sim[i, rest], 9)))][:5])
+    assert max(computed) < 200 * 200 / 4
+    quick, room = dtw_.quick(f[:200], f[200:], norm)
+    off = quick - -sim[:200, 200:]
+    assert off.max() <= room and off.min() >= -room
