@@ -406,3 +406,19 @@ def test_few_pairs_are_computed_in_double_precision(monkeypatch, norm, shift):
     quick, room = dtw_.quick(f[:200], f[200:], norm)
     off = quick - -sim[:200, 200:]
     assert off.max() <= room and off.min() >= -room
+
+
+def test_k_best_by_strips(monkeypatch):
+    from echoframe.operators import best as best_
+
+    rng = np.random.default_rng(3)
+    sim = np.round(rng.normal(size=(30, 40)), 1) + rng.normal(size=(30, 40)) * 1e-11  # ties at 9 places
+    sim[4, :38], sim[5] = -np.inf, -np.inf
+    others = rng.permutation(40)
+    monkeypatch.setattr(best_, "STRIP_CELLS", 100)
+    got = {}
+    for r in best_.k_best(np.arange(30), others, sim, 6).to_pylist():
+        got.setdefault(r["clip_idx"], []).append(r["neighbor_idx"])
+    for i in range(30):
+        order = [j for j in np.lexsort((others, -np.round(sim[i], 9))) if sim[i, j] > -np.inf][:6]
+        assert got.get(i, []) == [others[j] for j in order]
