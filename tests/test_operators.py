@@ -408,6 +408,28 @@ def test_few_pairs_are_computed_in_double_precision(monkeypatch, norm, shift):
     assert off.max() <= room and off.min() >= -room
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_blocks_of_a_group_meet_in_one_task(monkeypatch, counted):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    f = [rng.normal(size=(int(rng.integers(2, 9)), 4)) for _ in range(240)]
+    ids, block = rng.permutation(240), np.arange(240) % 8
+    t = pa.table({"block": block, "clip_idx": ids, "frames": [x.tolist() for x in f], "limit": np.full(240, np.inf)})
+    met = {i: [j for j in range(i + 1, 8) if (i, j) != (2, 5)] for i in range(7)}
+    monkeypatch.setattr(pruned, "TRIED", 1)
+    got, within = pruned._meet(t, met, 3, "symmetric2", "mean_length", counted)
+    sim = -dtw_.cross(f, f)
+    apart = (block[:, None] == block[None]) | (np.minimum.outer(block, block) == 2) & (np.maximum.outer(block, block) == 5)
+    sim[apart] = -np.inf
+    want = {int(ids[a]): [int(ids[b]) for b in np.lexsort((ids, -np.round(sim[a], 9)))[:3]] for a in range(240)}
+    found = {}
+    for r in got.to_pylist():
+        found.setdefault(r["clip_idx"], []).append(r["neighbor_idx"])
+    assert found == want
+    assert not counted or within == (~apart).sum() // 2
+
+
 def test_k_best_by_strips(monkeypatch):
     from echoframe.operators import best as best_
 
