@@ -31,8 +31,9 @@ from . import common
 BLOCK = 4096
 #: Distinct chunks that a process remembers.
 MEMO = 500_000
-#: Transducer states that a process holds, about 1 kB each; places before a block from which it may be entered.
-STATES, WARM = 100_000, 24
+#: Transducer states that a process holds, 1 kB each at most; answers about pairs of tokens, which outlive them; places before a
+#: block from which it may be entered.
+STATES, FITS, WARM = 250_000, 500_000, 24
 SPACE = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -165,10 +166,13 @@ class Transducer:
         return state, total
 
     def forget(self) -> None:
-        """Drops all compiled states but the start; states that go on are carried as their chains."""
+        """Drops all compiled states but the start; states that go on are carried as their chains. What is known of tokens stays,
+        as the states that are compiled next ask for it again, unless it is too much itself."""
         if len(self.states) > STATES:
             self.states, self.index, self.moves = self.states[:1], {self.states[0]: 0}, [{}]
+        if len(self.fits) > FITS:
             self.fits.clear()
+        if len(self.halves) > FITS:
             self.halves.clear()
 
     def image(self, chain: tuple, block: str) -> tuple[tuple, int]:

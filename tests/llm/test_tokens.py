@@ -127,3 +127,19 @@ def test_bpe_rows(spark, docs):
     assert sorted((tuple(r)[:4] for r in got), key=repr) == sorted(want, key=repr)
     assert all(len(r.ids) == r.n_tokens for r in got)
     assert bpe.encode(docs(ODD).limit(0), WORDS).count() == 0
+
+
+def test_what_is_known_of_tokens_outlives_the_states(monkeypatch):
+    from echoframe.llm import token_counts
+
+    pieces = {c: 0.0 for c in "▁abc"} | {"ab": -1.0, "bc": -2.0, "abc": -3.0, "▁a": -4.0}
+    whole, small = token_counts.Transducer(pieces), token_counts.Transducer(pieces)
+    texts = ["abc ab", "cab bca", "aabbcc abcabc", "b c a bc"] * 2
+    want = [whole(t) for t in texts]
+    monkeypatch.setattr(token_counts, "STATES", 2)
+    assert [small(t) for t in texts] == want
+    small.chunks.clear()
+    known = dict(small.fits)
+    small.forget()
+    assert len(small.states) == 1 and small.fits == known != {}
+    assert [small(t) for t in texts] == want
