@@ -1,9 +1,12 @@
 """Alerts on error clicks that no sale follows within a day, by a stateful streaming query that is started once a batch.
 
 A client's first error click opens an obligation that lasts 24 hours; later ones join it, and a sale ends it. Events
-arrive out of order, so a client's events wait in a list (ListState) until the watermark has passed them, and are then
-taken in order of time; the open obligation is a value (ValueState). Event-time timers call for both: one at the
-earliest time that waits, to drain the list, and one at the obligation's end.
+arrive out of order, so they wait in a list (ListState) until the watermark has passed them, and are then taken by client
+in order of time; open obligations are a value (ValueState). Event-time timers call for both: one at the earliest
+time that waits, to drain the list, and one at the earliest end of an obligation.
+
+A call to the state costs milliseconds in Python and in the JVM whatever it holds, so the key is a shard of clients, by
+hash: as many shards as leave each some SHARD events a batch. Clients do not meet within one.
 
 Spark keeps watermarks and timers in milliseconds, and events here are told apart by microseconds. So the query runs on
 a clock of its own that has a millisecond for every microsecond since `EPOCH`: a timer at t fires once the watermark is
@@ -16,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +39,9 @@ END = FAR - DELAY
 CLICK, SALE, MARKER = 0, 1, 2
 #: What a marker row is for the state: a number that no event has.
 NO_EVENT = -(2**63)
-#: Events in an element of the list.
-CHUNK = 10_000
+#: Events in an element of the list; of a batch in a shard, about.
+CHUNK, SHARD = 10_000, 500
 EVENTS = "client_id long, kind int, us long, ends boolean"
-#: What the state tells: (client_id, opened_us or NO_EVENT, n_rows) one after another, as a column costs much where each client has a table of its own.
-TOLD = "told array<long>"
 ALERTS = "client_id long, opened_us long, due_us long, n_rows long"
 
 
@@ -75,32 +77,34 @@ def events(clicks: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 class FollowUps(StatefulProcessor):
-    """The state of a client. An event is 2 * us + kind, so that numbers sort by time, clicks first."""
+    """The state of a shard of clients. An event is 2 * us + kind, so that numbers sort by time, clicks first."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "events array<long>")
-        self.obligation = handle.getValueState("obligation", "opened long, n long")
-        self.drained = set()  # clients whose timer has fired in this batch
+        self.waiting = handle.getListState("waiting", "clients array<long>, events array<long>")
+        self.obligations = handle.getValueState("obligations", "clients array<long>, opened array<long>, n array<long>")
+        self.drained = set()  # shards whose timer has fired in this batch
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         clock = timerValues.getCurrentWatermarkInMs()
-        late, kept = 0, []
+        clients, events, late = [], [], []
         for pdf in rows:
-            for e in pdf["event"].tolist():
-                if e == NO_EVENT:
-                    continue
-                if clock > 0 and e >> 1 < EPOCH + clock:
-                    late += 1
-                else:
-                    kept.append(e)
-        if kept:
-            self._wait(kept)
-        if late:
-            yield _told([key[0], NO_EVENT, late])
+            c, e = pdf["client_id"].to_numpy(), pdf["event"].to_numpy()
+            real = e != NO_EVENT
+            behind = real & (e >> 1 < EPOCH + clock) if clock > 0 else np.zeros(len(e), bool)
+            late.append(c[behind])
+            clients.append(c[real & ~behind])
+            events.append(e[real & ~behind])
+        clients, events, late = (np.concatenate(x) for x in (clients, events, late))
+        if len(events):
+            self.waiting.appendList(_chunks(clients, events))
+            self.handle.registerTimer(_clock(int(events.min()) >> 1))
+        if len(late):
+            clients, n = np.unique(late, return_counts=True)
+            yield _told(clients, -1, -1, n)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Whichever timer fires first in a batch drains all that the watermark has passed; the others find nothing."""
@@ -109,29 +113,41 @@ class FollowUps(StatefulProcessor):
         self.drained.add(key[0])
         clock = timerValues.getCurrentWatermarkInMs()
         limit = EPOCH + clock if clock < END else float("inf")
-        waiting = sorted(e for row in self.waiting.get() for e in row[0])
-        ripe = [e for e in waiting if e >> 1 < limit]
-        was = self.obligation.get()
-        now, alerts = settle(None if was is None else (was[0], was[1]), ripe, limit)
-        if ripe:
-            if len(ripe) == len(waiting):
-                self.waiting.clear()
-            else:
-                left = waiting[len(ripe) :]
-                self.waiting.put(_chunks(left))
-                self.handle.registerTimer(_clock(left[0] >> 1))
-        if now is None:
-            if was is not None:
-                self.obligation.clear()
-        elif was is None or now != (was[0], was[1]):
-            self.obligation.update(now)
-            self.handle.registerTimer(_clock(now[0] + OPEN))
-        if alerts:
-            yield _told([x for opened, _, n in alerts for x in (key[0], opened, n)])
-
-    def _wait(self, kept: list[int]) -> None:
-        self.waiting.appendList(_chunks(sorted(kept)))
-        self.handle.registerTimer(_clock(min(kept) >> 1))
+        chunks = list(self.waiting.get())
+        clients, events = (np.array([x for c in chunks for x in c[k]], np.int64) for k in range(2))
+        ripe = events >> 1 < limit
+        was = self.obligations.get()
+        was = {} if was is None else {c: (opened, n) for c, opened, n in zip(*was, strict=True)}
+        passed = ripe_by_client(clients[ripe], events[ripe])
+        now, told = {}, []
+        for client in was.keys() | passed.keys():
+            obligation, alerts = settle(was.get(client), passed.get(client, []), limit)
+            if obligation:
+                now[client] = obligation
+            told += [(client, *alert) for alert in alerts]
+        if ripe.all():
+            self.waiting.clear()
+        else:
+            left = events[~ripe]
+            if ripe.any():
+                self.waiting.put(_chunks(clients[~ripe], left))
+            self.handle.registerTimer(_clock(int(left.min()) >> 1))
+        if now:
+            self.handle.registerTimer(_clock(min(opened for opened, _ in now.values()) + OPEN))
+        if not now:
+            self.obligations.clear()
+        elif now != was:
+            self.obligations.update((list(now), [opened for opened, _ in now.values()], [n for _, n in now.values()]))
+        if told:
+            yield _told(*zip(*told, strict=True))
+
+
+def ripe_by_client(clients: np.ndarray, events: np.ndarray) -> dict[int, list[int]]:
+    """Sorted events of each client."""
+    order = np.lexsort((events, clients))
+    clients, events = clients[order], events[order]
+    begins = np.flatnonzero(np.concatenate(([True], np.diff(clients) != 0))) if len(clients) else []
+    return {int(clients[a]): events[a:b].tolist() for a, b in zip(begins, [*begins[1:], len(clients)], strict=True)}
 
 
 def settle(obligation: tuple[int, int] | None, ripe: list[int], limit: float) -> tuple[tuple[int, int] | None, list[tuple[int, int, int]]]:
@@ -157,12 +173,12 @@ def _clock(us: int) -> int:
     return min(max(us - EPOCH, 0), END - 1)
 
 
-def _chunks(events: list[int]) -> list[tuple[list[int]]]:
-    return [(events[k : k + CHUNK],) for k in range(0, len(events), CHUNK)]
+def _chunks(clients: np.ndarray, events: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    return [(clients[k : k + CHUNK].tolist(), events[k : k + CHUNK].tolist()) for k in range(0, len(events), CHUNK)]
 
 
-def _told(numbers: list[int]) -> pd.DataFrame:
-    return pd.DataFrame({"told": [numbers]})
+def _told(clients, opened, due, n) -> pd.DataFrame:
+    return pd.DataFrame({"client_id": clients, "opened_us": opened, "due_us": due, "n_rows": n}, dtype="int64")
 
 
 def _session(spark: SparkSession) -> SparkSession:
@@ -194,15 +210,14 @@ def alerts(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     batch finds all time past, and what it tells is batch 8.
 
     Sales that can end nothing move the watermark and are counted where they are late; of the others they are left out before the
-    state, where each call costs more than the join that tells them apart.
+    state.
 
     Rows without client or time are no events; nor are clicks of another kind or none. Click rows that repeat in all
     columns count once, sales each time. Empty tables give no rows, extra columns are not read, except
     that they tell click rows apart. Times are told apart from 1900 to 2191; what is earlier or later is as at the clock's end.
 
-    A call to the state costs a third of a millisecond or more on either side, some ten of them for each client and batch, whatever the
-    rows. State, shuffles and the list of a client grow with the client's events in two batches; no row passes the driver. Every
-    call uses new folders.
+    State, shuffles and the list of a shard grow with its clients' events in two batches, and shards are as many as the largest
+    batch asks for; no row passes the driver. Every call uses new folders.
     """
     spark = clicks.sparkSession
     common.ship(spark)
@@ -211,17 +226,18 @@ def alerts(clicks: DataFrame, sales: DataFrame) -> DataFrame:
     marker = spark.range(BATCHES + 1).select(F.lit(0).cast("long").alias("client_id"), F.lit(MARKER).alias("kind"), F.when(F.col("id") == BATCHES - 1, F.lit(EPOCH + FAR)).otherwise(F.lit(EPOCH)).alias("us"), F.lit(True).alias("ends"), F.col("id").cast("int").alias("batch"))
     events(clicks, sales).unionByName(marker).write.partitionBy("batch").parquet(f"{folder}/in")
     clock = F.least(F.greatest(F.col("us") - EPOCH, F.lit(0)), F.lit(FAR))
-    latest = {r.batch: r.at for r in spark.read.schema(f"{EVENTS}, batch int").parquet(f"{folder}/in").groupBy("batch").agg(F.max(clock).alias("at")).collect()}  # a row for each batch
+    # A row for each batch.
+    seen = spark.read.schema(f"{EVENTS}, batch int").parquet(f"{folder}/in").groupBy("batch").agg(F.max(clock).alias("at"), F.count_if("ends").alias("n")).collect()
+    latest = {r.batch: r.at for r in seen}
+    shards = -(-max(r.n for r in seen) // SHARD)
     for b in range(BATCHES + 1):
         mark = max([latest[x] for x in range(b)], default=0) - DELAY
         # The files of this batch are new to the checkpoint; those of earlier ones it has seen.
         arrived = own.readStream.schema(EVENTS).parquet(f"{folder}/in/batch={{{','.join(map(str, range(b + 1)))}}}")
         timed = arrived.withColumn("clock", F.timestamp_millis(clock)).withWatermark("clock", f"{DELAY // 1000} seconds")
         # The condition names the clock, so it stays behind the watermark, which all events move.
-        timed = timed.where(F.col("ends") | (F.unix_millis("clock") < mark)).select("client_id", F.when(F.col("kind") == MARKER, F.lit(NO_EVENT)).otherwise(2 * F.col("us") + F.col("kind")).alias("event"))
-        told = timed.groupBy("client_id").transformWithStateInPandas(FollowUps(), TOLD, "Append", "EventTime")
-        told = told.select("told", F.explode(F.sequence(F.lit(0), F.size("told") - 1, F.lit(3))).alias("k"))
-        client, opened, n = (F.get("told", F.col("k") + i) for i in range(3))
-        out = told.select(client.alias("client_id"), *(F.when(opened == NO_EVENT, F.lit(-1)).otherwise(us).cast("long").alias(x) for x, us in (("opened_us", opened), ("due_us", opened + OPEN))), n.alias("n_rows"), F.lit(b).alias("batch"))
+        event = F.when(F.col("kind") == MARKER, F.lit(NO_EVENT)).otherwise(2 * F.col("us") + F.col("kind")).alias("event")
+        timed = timed.where(F.col("ends") | (F.unix_millis("clock") < mark)).select(F.pmod(F.xxhash64("client_id"), F.lit(shards)).alias("shard"), "client_id", event)
+        out = timed.groupBy("shard").transformWithStateInPandas(FollowUps(), ALERTS, "Append", "EventTime").withColumn("batch", F.lit(b))
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{ALERTS}, batch int").parquet(f"{folder}/out").select("batch", "client_id", "opened_us", "due_us", "n_rows")

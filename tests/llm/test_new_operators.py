@@ -193,6 +193,29 @@ def test_alerts_against_the_rules(spark):
     assert dict(got.dtypes) == {"batch": "int", "client_id": "bigint", "opened_us": "bigint", "due_us": "bigint", "n_rows": "bigint"}
 
 
+def test_alerts_of_clients_that_share_shards(spark, monkeypatch):
+    """A key of the state holds several clients: ids of either sign, late events, and obligations that batches carry on."""
+    monkeypatch.setattr(followups, "SHARD", 20)
+    random.seed(6)
+    clicks, sales = [], []
+    for i in range(400):
+        at = DAY + timedelta(seconds=random.randrange(0, 86400 * 150))
+        clicks.append((i, at, at + timedelta(hours=random.choice([0, 1, 200, 900])), random.randrange(-30, 30), "error", 1.0, None))
+        sales.append((i, clicks[-1][3] + random.choice([0, 0, 1]), None, 1.0, at + timedelta(hours=random.choice([1, 25])), at + timedelta(hours=300), 1))
+    calls = spark.sparkContext.accumulator(0)
+    drain = followups.FollowUps.handleInputRows
+
+    class Counted(followups.FollowUps):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from drain(self, key, rows, timerValues)
+
+    monkeypatch.setattr(followups, "FollowUps", Counted)
+    got = tuples(followups.alerts(spark.createDataFrame(clicks, CLICKS), spark.createDataFrame(sales, SALES)))
+    assert got == slow_alerts(clicks, sales)
+    assert 9 <= calls.value <= 9 * 10, "a call for each shard and batch, not for each client"
+
+
 def test_alerts_of_empty_tables(spark):
     assert followups.alerts(spark.createDataFrame([], CLICKS), spark.createDataFrame([], SALES)).collect() == []
 
