@@ -444,3 +444,31 @@ def test_k_best_by_strips(monkeypatch):
     for i in range(30):
         order = [j for j in np.lexsort((others, -np.round(sim[i], 9))) if sim[i, j] > -np.inf][:6]
         assert got.get(i, []) == [others[j] for j in order]
+
+
+def test_groups_leave_k_edges_a_row(spark):
+    """What leaves a pair of groups is the k best of each row, however many blocks it has, and pairs with frames are dealt by number."""
+    from echoframe.operators import best
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4))
+    x[40:60] = x[:20]  # ties
+    ids = np.arange(90) * 3
+    sim = x @ x.T
+
+    def met(li, ri, same, rows):
+        def score(i, j, mine, theirs):
+            part = sim[np.ix_(li[i] // 3, ri[j] // 3)]
+            part[li[i][:, None] == ri[j][None]] = -np.inf
+            mine.offer(part, ri[j])
+            if theirs is not None:
+                theirs.offer(part.T, li[i])
+
+        return best.running(li, ri, same, 5, rows, score).to_pylist()
+
+    for left, right, same in ((ids, ids, True), (ids[:50], ids[50:], False)):
+        want, got = met(left, right, same, 100), met(left, right, same, 7)
+        assert len(got) == 90 * 5 and sorted(map(str, got)) == sorted(map(str, want))
+    rows, df = clips_df(spark, 40)
+    edges = topk.dtw_pairs(topk.cosine_topk(df, 5), df, per_clip=5)
+    assert {(r.clip_idx, r.neighbor_idx) for r in edges.collect()} == {(r.clip_idx, r.neighbor_idx) for r in topk.cosine_topk(df, 5).collect()}
