@@ -2,6 +2,8 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,3 +447,24 @@ def test_crowds_of_edited_copies_are_linked(docs):
         parent[root(r.doc_id)] = root(r.partner_id)
     for alike in pairs:
         assert sum(root(i) == root(j) for i, j in alike) >= 0.95 * len(alike)
+
+
+def test_members_of_a_large_hub_are_all_compared():
+    """900 members that failed at their hub: twins far apart in any order of places are linked, as by all pairs."""
+    rng = np.random.default_rng(4)
+    hub = rng.integers(0, 1 << 16, 90).astype(np.uint16)
+    rows = []
+    for doc in range(450):
+        seq = hub.copy()
+        at = rng.permutation(90)[:40]
+        seq[at] = rng.integers(0, 1 << 16, 40)
+        twin = seq.copy()
+        twin[rng.permutation(90)[:5]] = 7  # differs from its hub at other places than its twin
+        rows += [(doc, 3, 10 + doc % 5, False, seq.tobytes(), doc % 2), (10_000 - doc, 0, 2, False, np.concatenate((hub[:3], twin)).tobytes(), (doc // 2) % 2)]
+    t = pa.table({k: pa.array(c, kind) for (k, kind), c in zip((("doc_id", pa.int64()), ("lo", pa.int32()), ("moved", pa.int32()), ("passed", pa.bool_()), ("seq", pa.binary()), ("side", pa.int32())), zip(*rows), strict=True)})
+    sides = [t.filter(pc.equal(t["side"], k)) for k in (0, 1)]
+    whole = [x for k in (0, 1) for x in substring_dedup.crowd_links(sides[k].set_column(5, "side", pa.array([0] * len(sides[k]), pa.int32())), True)]
+    found = {(r[0], r[3]) for r in whole + substring_dedup.crowd_links(t, False)}
+    assert found == {(doc, 10_000 - doc) for doc in range(450)}
+    for a, start, end, b, pstart, pend in whole:
+        assert end - start == pend - pstart >= 50 and start - (10 + a % 5) == pstart - (2 + 3)
