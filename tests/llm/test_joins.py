@@ -1,4 +1,5 @@
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -468,3 +469,51 @@ def test_members_of_a_large_hub_are_all_compared():
     assert found == {(doc, 10_000 - doc) for doc in range(450)}
     for a, start, end, b, pstart, pend in whole:
         assert end - start == pend - pstart >= 50 and start - (10 + a % 5) == pstart - (2 + 3)
+
+
+def plain_longest(hit, same=0.8, least=46):
+    gain = np.concatenate(([0], np.cumsum(hit))) - same * np.arange(len(hit) + 1)
+    at = np.flatnonzero(hit)
+    pairs = [(t - s, -s, int(s), int(t)) for s in at for t in at + 1 if t - s >= least and gain[t] >= gain[s] - 1e-9]
+    return max(pairs)[2:] if pairs else None
+
+
+def test_longest_stretch_against_all():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        hit = rng.random(int(rng.integers(40, 130))) < rng.choice([0.6, 0.78, 0.82, 0.95])
+        a = np.where(hit, 0, 1)
+        assert substring_dedup.verify(a, np.zeros(len(a), int)) == plain_longest(hit)
+
+
+def test_stretches_of_many_meetings():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        m = np.zeros(n, substring_dedup._MEETING)
+        m["j"], m["l"] = rng.integers(0, substring_dedup.K, n), rng.integers(0, 300, n)
+        m["r"] = m["l"] + rng.integers(1, 120, n)
+        depth = sum((np.array([((x >= m["l"]) & (x < m["r"]) & (m["j"] == j)).any() for x in range(500)]).astype(int) for j in range(substring_dedup.K)))
+        edges = np.flatnonzero(np.diff(depth >= 2, prepend=False))
+        assert substring_dedup.stretches(m) == [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 46]
+
+
+def test_text_that_repeats_itself_is_verified_fast():
+    """A line of 7 words over and over agrees at every seventh shift; the unit of time is one comparison of all shifts."""
+    rng = np.random.default_rng(10)
+    pairs = []
+    for _ in range(60):
+        line = rng.integers(0, 1 << 16, 7)
+        a, b = (np.where(rng.random(140) < 0.1, rng.integers(0, 1 << 16, 140), np.tile(line, 20)).astype(np.uint16) for _ in range(2))
+        pairs.append((a, b))
+
+    def once(f):
+        began = time.process_time()
+        for a, b in pairs:
+            f(a, b)
+        return time.process_time() - began
+
+    unit = min(once(lambda a, b: [(a[:, None] == b).sum(1) for _ in range(4)]) for _ in range(5))
+    took = min(once(lambda a, b: substring_dedup.verify_near(a, b, -40, 40)) for _ in range(5))
+    print(took / unit)
+    assert took < 7 * unit
