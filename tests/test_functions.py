@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -158,3 +159,45 @@ def test_positional_encoding(spark):
     got = spark.range(1).select(arrays.positional_encoding(F.lit(3), 5).alias("p")).first().p
     want = [[f(p * 10000 ** (-2 * (k // 2) / 5)) for k, f in enumerate([math.sin, math.cos, math.sin, math.cos, math.sin])] for p in range(3)]
     assert np.allclose(got, want)
+
+
+def plain_cost(a, b):
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    r = np.full((len(a) + 1, len(b) + 1), np.inf)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            r[i + 1, j + 1] = d[i, j] if i == j == 0 else d[i, j] + min(r[i, j] + d[i, j], r[i, j + 1], r[i + 1, j])
+    return r[-1, -1]
+
+
+@pytest.mark.parametrize("width", [1, 4, 7, 8, 12])
+def test_kernels_of_few_and_many_dimensions(width):
+    rng = np.random.default_rng(width)
+    clips = [rng.normal(size=(n, width)) for n in (1, 2, 5, 5, 9, 1, 7)]
+    pairs = np.divmod(np.arange(49), 7)
+    want = np.array([plain_cost(clips[i], clips[j]) for i, j in zip(*pairs, strict=True)])
+    assert np.allclose(dtw.distances(clips, clips, pairs, norm="none"), want, rtol=0, atol=1e-12)
+    near, room = dtw.quick(clips, clips, "none")
+    assert (np.abs(near.reshape(-1) - want) <= room).all()
+
+
+def test_kernels_are_fast():
+    """The unit is the time of the plainest passes over as many cells."""
+    rng = np.random.default_rng(0)
+    clips = list(rng.normal(size=(900, 10, 4)))
+    pairs = rng.integers(0, 900, (2, 20_000))
+    cells = rng.random((100, 20_000))
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    out = np.empty_like(cells)
+    unit = least(lambda: [np.multiply(cells, cells, out=out) for _ in range(10)])
+    double, single = least(lambda: dtw.distances(clips, clips, pairs)), least(lambda: dtw.quick(clips[:450], clips))
+    print(double / unit, single / unit)
+    assert double < 5 * unit
