@@ -472,3 +472,59 @@ def test_groups_leave_k_edges_a_row(spark):
     rows, df = clips_df(spark, 40)
     edges = topk.dtw_pairs(topk.cosine_topk(df, 5), df, per_clip=5)
     assert {(r.clip_idx, r.neighbor_idx) for r in edges.collect()} == {(r.clip_idx, r.neighbor_idx) for r in topk.cosine_topk(df, 5).collect()}
+
+
+def test_each_pair_of_blocks_has_a_task(spark):
+    """Dealt by hash, several pairs of blocks fell to one task and some tasks had none."""
+    import pyarrow as pa
+
+    from echoframe.operators import blocks
+
+    df = spark.range(300).select((F.col("id") * 7 - 50).alias("clip_idx"))
+
+    def run(left, right, same):
+        from pyspark import TaskContext
+
+        a, b = (t["clip_idx"].to_numpy() for t in (left, left if same else right))
+        i, j = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
+        keep = i < j if same else i != j
+        n = keep.sum()
+        return pa.table({"task": np.full(n, TaskContext.get().partitionId()), "pair": np.full(n, min(a.min(), b.min()) * 10_000 + max(a.min(), b.min())), "i": i[keep], "j": j[keep]})
+
+    got = blocks.block_pairs(df, "clip_idx", run, "task long, pair long, i long, j long", 30).toPandas()
+    met = set(zip(np.minimum(got.i, got.j), np.maximum(got.i, got.j)))
+    assert len(got) == len(met) == 300 * 299 // 2
+    assert (got.groupby("task").pair.nunique() == 1).all() and got.task.nunique() == got.pair.nunique() >= 55
+
+
+@pytest.mark.parametrize("copies", [2, 150])
+def test_slices_of_a_group_share_what_rules_pairs_out(monkeypatch, copies):
+    """Double precision is asked for what the k best of a whole group leave, not of each of its slices; large groups of copies too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    f = [rng.normal(size=(int(rng.integers(2, 9)), 4)) for _ in range(800)]
+    for i in range(copies):
+        f[i * 5] = f[0].copy()
+    t = pa.table({"clip_idx": np.arange(800) * 3, "frames": [x.tolist() for x in f]})
+    sim = -dtw_.cross(f, f)
+    computed = []
+    run = dtw_.distances
+    monkeypatch.setattr(dtw_, "distances", lambda *a: computed.append(len(a[2][0])) or run(*a))
+    for a, b, same in ((t.slice(0, 400), t.slice(400), False), (t, t, True)):
+        per = {}
+        for near in (1000, 60):
+            monkeypatch.setattr(topk, "NEAR", near)
+            computed.clear()
+            got = {}
+            for r in topk.nearest(a, b, same, 5).to_pylist():
+                got.setdefault(r["clip_idx"], []).append((r["neighbor_idx"], r["sim"]))
+            per[near] = sum(computed)
+            for x, y in [(a, b)] if same else [(a, b), (b, a)]:
+                others = y["clip_idx"].to_numpy()
+                for i in x["clip_idx"].to_numpy():
+                    rest = others[others != i]
+                    values = sim[i // 3, rest // 3]
+                    best = np.lexsort((rest, -np.round(values, 9)))[:5]
+                    assert [o for o, _ in got[i]] == list(rest[best]) and np.allclose([s for _, s in got[i]], values[best], rtol=0, atol=1e-9)
+        assert copies > 2 or per[60] <= 1.1 * per[1000] + 10
