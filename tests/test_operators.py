@@ -528,3 +528,31 @@ def test_slices_of_a_group_share_what_rules_pairs_out(monkeypatch, copies):
                     best = np.lexsort((rest, -np.round(values, 9)))[:5]
                     assert [o for o, _ in got[i]] == list(rest[best]) and np.allclose([s for _, s in got[i]], values[best], rtol=0, atol=1e-9)
         assert copies > 2 or per[60] <= 1.1 * per[1000] + 10
+
+
+@pytest.mark.parametrize("d", [3, 12])
+@pytest.mark.parametrize("norm", ["mean_length", "none"])
+def test_cheaper_bounds_leave_what_the_full_one_leaves(monkeypatch, d, norm):
+    rng = np.random.default_rng(d)
+    walk = lambda at: at + np.cumsum(rng.normal(size=(int(rng.integers(1, 18)), d)), 0)
+    a, b = ([walk(20 * rng.normal(size=d)) for _ in range(n)] for n in (90, 130))
+    limit, others = rng.exponential(4, 90), rng.exponential(4, 130)
+    limit[3], others[5] = np.inf, np.inf
+    mine, theirs = dtw_.Bounds(a), dtw_.Bounds(b)
+    want = mine.distances(theirs, norm) <= np.maximum(limit[:, None], others[None])
+    asked, run = [], dtw_._balls
+    monkeypatch.setattr(dtw_, "_balls", lambda *x: asked.append(len(x[2])) or run(*x))
+    i, j = mine.within(theirs, limit, others, norm)
+    got = np.zeros_like(want)
+    got[i, j] = True
+    assert len(i) == got.sum() and (got == want).all() and want.sum() < want.size / 2
+    assert sum(asked) < want.size / 2
+
+
+def test_pruning_is_the_report_of_the_pruned_table(spark, monkeypatch):
+    _, df = walks(spark)
+    want = pruned.dtw_topk_pruned(df, 4, n_cells=9, rows=16)[1].first()
+    monkeypatch.setattr(pruned, "_meet", None)  # no distances of clips of two blocks
+    got = pruned.pruning(df, 4, n_cells=9, rows=16).first()
+    assert got == want and got.clip_pairs_within < got.clip_pairs
+    assert pruned.pruning(df.limit(1), 4).first().clip_pairs == 0 and pruned.pruning(df.limit(0), 4).first().clip_pairs == 0
