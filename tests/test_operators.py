@@ -556,3 +556,23 @@ def test_pruning_is_the_report_of_the_pruned_table(spark, monkeypatch):
     got = pruned.pruning(df, 4, n_cells=9, rows=16).first()
     assert got == want and got.clip_pairs_within < got.clip_pairs
     assert pruned.pruning(df.limit(1), 4).first().clip_pairs == 0 and pruned.pruning(df.limit(0), 4).first().clip_pairs == 0
+
+
+@pytest.mark.parametrize("queries", [3, 150])
+def test_queries_are_scored_in_single_precision(monkeypatch, queries):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    f = [rng.normal(size=(int(rng.integers(2, 9)), 4)) for _ in range(900)]
+    f[0], f[700] = f[600].copy(), f[600].copy()  # ties
+    t = pa.table({"clip_idx": np.arange(900), "frames": [x.tolist() for x in f]})
+    sim = -dtw_.cross(f, f)
+    computed, run = [], dtw_.distances
+    monkeypatch.setattr(dtw_, "distances", lambda *a: computed.append(len(a[2][0])) or run(*a))
+    monkeypatch.setattr(dtw_, "cross", lambda *a: pytest.fail("all pairs in double precision"))
+    got = {}
+    for r in topk.nearest(t.slice(0, queries), t, False, 5, both=False).to_pylist():  # queries are in the corpus
+        got.setdefault(r["clip_idx"], []).append(r["neighbor_idx"])
+    ids = np.arange(900)
+    assert got == {i: list((rest := ids[ids != i])[np.lexsort((rest, -np.round(sim[i, rest], 9)))][:5]) for i in range(queries)}
+    assert sum(computed) < queries * 900 / 4
