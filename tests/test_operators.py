@@ -576,3 +576,32 @@ def test_queries_are_scored_in_single_precision(monkeypatch, queries):
     ids = np.arange(900)
     assert got == {i: list((rest := ids[ids != i])[np.lexsort((rest, -np.round(sim[i, rest], 9)))][:5]) for i in range(queries)}
     assert sum(computed) < queries * 900 / 4
+
+
+def test_a_query_is_sent_once_to_a_group_of_cells(spark, monkeypatch):
+    sizes = {0: 10, 1: 25, 2: 0, 3: 70, 4: 5, 5: 5, 7: 31}
+    first, number = cells.grouped(sizes, 8, 30)
+    assert first.tolist() == [0, 1, 1, 2, 5, 5, 5, 6] and number.tolist() == [1, 1, 1, 3, 1, 1, 1, 2]
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(500, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "clip_idx long, z array<double>")
+    want = sorted(tuple(r)[:3] for r in topk.cosine_topk(df, 3).collect())
+    met, run = [], cells.best
+    monkeypatch.setattr(cells, "best", lambda edges, k: met.append(edges) or run(edges, k))
+    got = cells.cell_topk(df, 3, n_cells=40, probes=40, rows=130)
+    assert sorted(tuple(r)[:3] for r in got.collect()) == want
+    # 3 edges at most of a row for each group of cells, not for each of the 40.
+    assert met[-1].count() <= 500 * 3 * 8
+
+
+def test_cells_that_queries_ask_for():
+    rng = np.random.default_rng(8)
+    x, y, cell = rng.normal(size=(30, 4)), rng.normal(size=(50, 4)), np.sort(rng.integers(0, 6, 50))
+    asks = rng.random((30, 6)) < 0.4
+    qi, ci = np.arange(30), np.arange(20, 70)
+    sim = np.where(asks[:, cell] & (qi[:, None] != ci[None]), x @ y.T, -np.inf)
+    want = {int(i): [int(ci[j]) for j in np.lexsort((ci, -np.round(sim[i], 9)))[:4] if sim[i, j] > -np.inf] for i in qi}
+    got = {}
+    for r in cells._scored(qi, x, asks, ci, y, cell, 4).to_pylist():
+        got.setdefault(r["clip_idx"], []).append(r["neighbor_idx"])
+    assert got == {i: v for i, v in want.items() if v}
