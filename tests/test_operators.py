@@ -605,3 +605,34 @@ def test_cells_that_queries_ask_for():
     for r in cells._scored(qi, x, asks, ci, y, cell, 4).to_pylist():
         got.setdefault(r["clip_idx"], []).append(r["neighbor_idx"])
     assert got == {i: v for i, v in want.items() if v}
+
+
+@pytest.mark.parametrize("groups", [1, 2])
+def test_blocks_that_bounds_do_not_part_are_scored_in_single_precision(monkeypatch, groups):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    f = [rng.normal(size=(int(rng.integers(2, 9)), 4)) for _ in range(900)]
+    ids, block = rng.permutation(900), np.arange(900) % 6
+    met = {i: [j for j in range(i + 1, 6) if groups == 1 or (i < 3) != (j < 3)] for i in range(6)}
+    sim = -dtw_.cross(f, f)
+    meets = np.array([[j in met[i] or i in met[j] for j in range(6)] for i in range(6)])[block][:, block]
+    assert (pruned._sides(meets) is None) == (groups == 1)
+    # Limits as a block's own pairs give them.
+    own = np.where((block[:, None] == block[None]) & ~np.eye(900, dtype=bool), sim, -np.inf)
+    limit = -np.sort(own, axis=1)[:, -3]
+    t = pa.table({"block": block, "clip_idx": ids, "frames": [x.tolist() for x in f], "limit": limit})
+    monkeypatch.setattr(pruned, "TRIED", 64)
+    monkeypatch.setattr(dtw_.Bounds, "within", lambda a, b, x, y, norm: np.nonzero(np.ones((len(x), len(y)), bool)))
+    computed, run = [], dtw_.distances
+    monkeypatch.setattr(dtw_, "distances", lambda *a: computed.append(len(a[2][0])) or run(*a))
+    found = {}
+    for r in pruned._meet(t, {i: j for i, j in met.items() if j}, 3, "symmetric2", "mean_length", False)[0].to_pylist():
+        found.setdefault(r["clip_idx"], []).append(r["neighbor_idx"])
+    # What is within the limit, of the three nearest in other blocks, is there, and nothing of blocks that do not meet.
+    place = {int(x): n for n, x in enumerate(ids)}
+    for n in range(900):
+        near = [m for m in np.lexsort((ids, -np.round(np.where(meets[n], sim[n], -np.inf), 9)))[:3] if -sim[n, m] <= limit[n]]
+        assert [int(ids[m]) for m in near] == found.get(int(ids[n]), [])[: len(near)]
+        assert all(meets[n, place[x]] for x in found.get(int(ids[n]), []))
+    assert sum(computed) < meets.sum() / 2 / 10
